@@ -50,5 +50,5 @@ def wider(df: DataFrame, **columns: str) -> StructType:
     """The schema of df with more columns; df keeps its own."""
     out = StructType(list(df.schema.fields))
     for name, kind in columns.items():
-        out = out.add(name, kind)
+        out = out.add(name, StructType.fromDDL(f"c {kind}")[0].dataType)
     return out

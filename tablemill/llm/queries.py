@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import exact_dedup, quality, simhash
-from tablemill.llm.common import cut, read_table
+from tablemill.llm import byte_bpe, chat, exact_dedup, packing, quality, simhash, token_shards, toxicity
+from tablemill.llm.common import cut, read_table, scratch
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -29,10 +29,49 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True).drop("text")
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "shards")
+    written = cut(token_shards.write_shards(documents(spark, sf_dir), path, tokenizer("word_bpe_49k.json")))
+    return token_shards.read_index(spark, written, path)
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read_table(spark, sf_dir, "conversations"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs, model, spans=False)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_shards": op4_token_shards,
     "op5_simhash": op5_simhash,
+    "op6_chat": op6_chat,
+    "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
