@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import cut
+from tablemill.llm.common import cut, runs
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -87,26 +87,6 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n"
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys, in the order of the rows; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        seen = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
-        at = 0
-        for i, key in enumerate(seen):
-            if key != last:
-                if i > at:
-                    held.append(b.slice(at, i - at))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, at, last = [], i, key
-        if len(seen) > at:
-            held.append(b.slice(at))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def repair(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """turns(conv_id, turn, role, text) as (conv_id, turn, old_role, role, action, cost, inserted, rendered).
 
@@ -121,14 +101,14 @@ def repair(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     order = ["conv_id", "chunk", "turn", "role"]
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ("conv_id", "chunk")):
+        for t in runs(batches, ("conv_id", "chunk")):
             yield pa.RecordBatch.from_pylist(
                 [{"conv_id": t["conv_id"][0].as_py(), "chunk": t["chunk"][0].as_py(), "m": matrix(t["role"].to_pylist()).ravel().tolist()}], pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("m", pa.list_(pa.int64()))])
             )
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The state before and after each chunk on the conversation's cheapest way."""
-        for t in _groups(batches, ("conv_id",)):
+        for t in runs(batches, ("conv_id",)):
             ms = [np.array(m).reshape(4, 4) for m in t["m"].to_pylist()]
             cost, back = np.full(4, FAR), []
             cost[START] = 0
@@ -146,7 +126,7 @@ def repair(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t["conv_id"].combine_chunks(), t["chunk"].combine_chunks(), pa.array([s for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.int32()), pa.array([k == n - 1 for k in range(n)]), pa.array([total] * n, pa.int64())], ["e_conv", "e_chunk", "s", "e", "final", "cost"])
 
     def turn_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ("conv_id", "chunk")):
+        for t in runs(batches, ("conv_id", "chunk")):
             roles, texts = t["role"].to_pylist(), t["text"].to_pylist()
             at = t["s"][0].as_py()
             rows = []

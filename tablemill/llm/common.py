@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,3 +54,23 @@ def wider(df: DataFrame, **columns: str) -> StructType:
     for name, kind in columns.items():
         out = out.add(name, StructType.fromDDL(f"c {kind}")[0].dataType)
     return out
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, in the order of the rows; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        seen = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+        at = 0
+        for i, key in enumerate(seen):
+            if key != last:
+                if i > at:
+                    held.append(b.slice(at, i - at))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, at, last = [], i, key
+        if len(seen) > at:
+            held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import byte_bpe, chat, exact_dedup, packing, quality, simhash, token_shards, toxicity
+from tablemill.llm import byte_bpe, chat, exact_dedup, packing, quality, simhash, substring_dedup, suffix_array, token_shards, toxicity
 from tablemill.llm.common import cut, read_table, scratch
 
 
@@ -52,6 +52,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(read_table(spark, sf_dir, "conversations"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_substrings(documents(spark, sf_dir), digest=True).drop("text")
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(documents(spark, sf_dir), digest=True).drop("text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_shards": op4_token_shards,
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_suffix_array": op8_suffix_array,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
