@@ -7,12 +7,13 @@ about two grams in (window - gram) are told to others. Stages:
 2. A document then tells, for each such anchor, a hash of its segment: all the symbols that windows around the anchor
    can cover. Equal segments of one anchor form a class. All but the class's least document lose the segment whole.
 3. Where an anchor has several classes, the segments of their least documents meet in a solver, which finds what they
-   share by the operator's own method. An anchor with very many classes is taken apart: its segments go on as single
-   windows that meet by their content, which spreads them.
+   share by the operator's own method. An anchor with very many classes would be one large group; its segments are
+   taken apart into windows, whose 128-bit hashes spread over all partitions, and equal ones are a class again.
 4. The spans join the documents.
 
-A text is shuffled once; the stages reuse that exchange. 64-bit hashes select candidates; a class is equal in two of
-them, of the anchor and of the segment. Solvers compare symbols themselves.
+A text is shuffled once; the stages reuse that exchange. What else is told travels as packed arrays. Codes of 40 bits
+and a bucket only select candidates; a class is equal in the hash of its anchor and a 64-bit one of its segment. Solvers
+compare symbols themselves.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tablemill.llm.common import CHUNK_BYTES, partitions, runs, text_or_empty, wider
 
-#: Classes of one anchor beyond which its segments go on as single windows.
-MANY_CLASSES = 2048
+#: Classes of one anchor beyond which its segments go on as single windows: what a worker's solver can hold at a time.
+MANY_CLASSES = {"bytes": 16_384, "words": 2048}
 #: Anchors that a worker packs at a time, and symbols that a solver gets at a time.
 FLUSH, SOLVE = 1_000_000, 1_200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -176,21 +177,48 @@ def _inverses(n: int) -> np.ndarray:
     return _powers[1][: n + 1]
 
 
-def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _code(h: np.ndarray, buckets: int) -> np.ndarray:
+    """40 bits of a hash and its bucket, as one number whose remainder is the bucket."""
+    n = np.uint64(buckets)
+    return ((h // n) & np.uint64(2**40 - 1)) * n + h % n
+
+
+#: Arrays that travel packed; codes go as 32 and 8 bits beside their bucket.
+ANCHOR = {"low": np.uint32, "high": np.uint8, "k": np.int64}
+SEGMENT = {"low": np.uint32, "high": np.uint8, "seg": np.uint64, "k": np.int64, "th": np.int64, "start": np.int32, "size": np.uint16}
+SHARED = {"k": np.int64, "code": np.int64}
+SPAN = {"k": np.int64, "th": np.int64, "start": np.int32, "size": np.uint16}
+ASKED = SPAN | {"code": np.int64, "split": np.uint8}
+
+
+def _schema(kinds: dict[str, type], key: str = "bucket int") -> str:
+    return key + "".join(f", {c} binary" for c in kinds)
+
+
+def _packed(bucket: np.ndarray, columns: list[np.ndarray], kinds: dict[str, type]) -> pa.RecordBatch:
     """One row for each bucket: its rows of each column as bytes."""
     order = np.argsort(bucket, kind="stable")
     names, first = np.unique(bucket[order], return_index=True)
     ends = np.r_[first[1:], len(order)]
-    cols = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (c[order] for c in columns.values())]
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *cols], ["bucket", *columns])
+    cols = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (c.astype(t)[order] for c, t in zip(columns, kinds.values(), strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *cols], ["bucket", *kinds])
+
+
+def _by_code(code: np.ndarray, buckets: int, columns: list[np.ndarray], kinds: dict[str, type]) -> pa.RecordBatch:
+    n = np.uint64(buckets)
+    return _packed(code % n, [(code // n) & np.uint64(2**32 - 1), code // n >> np.uint64(32), *columns], kinds)
+
+
+def _by_k(columns: list[np.ndarray], kinds: dict[str, type], buckets: int) -> pa.RecordBatch:
+    return _packed(_mix(columns[0].astype(np.int64).view(np.uint64)) % np.uint64(buckets), columns, kinds)
 
 
 def _unpacked(t: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in kinds.items()]
 
 
-def _column(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
-    return np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in batches]) if batches else np.zeros(0, np.int64)
+def _whole_code(t: pa.Table, low: np.ndarray, high: np.ndarray, buckets: int) -> np.ndarray:
+    return ((high.astype(np.uint64) << np.uint64(32)) | low) * np.uint64(buckets) + np.uint64(t["bucket"][0].as_py())
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -204,13 +232,13 @@ def _anchor_rows(kind: Kind, buckets: int):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            code, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _packed((h % np.uint64(buckets)).astype(np.int32), {"h": h, "doc": doc})
+            return _by_code(code, buckets, [doc], ANCHOR)
 
         for b in _slices(batches):
             found = _Found([kind.raw(t) for t in b.column("text").to_pylist()], kind, False)
-            held.append((found.h.astype(np.uint64), b.column("doc_id").to_numpy()[found.text.astype(np.int64)]))
+            held.append((_code(found.h.astype(np.uint64), buckets), b.column("doc_id").to_numpy()[found.text.astype(np.int64)]))
             if sum(len(h) for h, _ in held) > FLUSH:
                 yield flush()
         if held:
@@ -219,139 +247,165 @@ def _anchor_rows(kind: Kind, buckets: int):
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, h) of anchors that two documents or more have."""
-    for t in runs(batches, ("bucket",)):
-        h, doc = _unpacked(t, {"h": np.uint64, "doc": np.int64})
-        order = np.argsort(h)
-        h, doc = h[order], doc[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        if not len(first):
-            continue
-        size = np.diff(np.r_[first, len(h)])
-        many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-        take = np.repeat(many, size)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(h[take].view(np.int64))], ["k", "h"])
-
-
-def _by_document(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """One row for each k: its rows of the columns as bytes of longs. Rows come sorted by k; a partition's are held."""
-    held = list(batches)
-    k = _column(held, "k")
-    if len(k):
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        ends = np.r_[first[1:], len(k)]
-        data = [_column(held, c).astype(np.int64) for c in columns]
-        for at in range(0, len(first), 5000):
-            cut = list(zip(first[at : at + 5000], ends[at : at + 5000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(k[first[at : at + 5000]]), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in data)], ["k", *columns])
-
-
-def _for_documents(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+def _shared_anchors(buckets: int):
+    """Anchors that two documents or more have, told to each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ("bucket",)):
+            low, high, doc = _unpacked(t, ANCHOR)
+            if not len(doc):
+                continue
+            code = _whole_code(t, low, high, buckets)
+            order = np.argsort(code)
+            code, doc = code[order], doc[order]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+            take = np.repeat(many, np.diff(np.r_[first, len(code)]))
+            if take.any():
+                yield _by_k([doc[take], code[take]], SHARED, buckets)
+
+    return run
+
+
+def _for_documents(rows: DataFrame, kinds: dict[str, type], names: dict[str, str]) -> DataFrame:
+    """One row for each k: its rows of each column as bytes, under new names."""
+    wanted = [c for c in kinds if c != "k"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _by_document(batches, columns)
+        for t in runs(batches, ("bucket",)):
+            columns = dict(zip(kinds, _unpacked(t, kinds), strict=True))
+            order = np.argsort(columns["k"], kind="stable")
+            k = columns["k"][order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            ends = np.r_[first[1:], len(k)]
+            made = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (columns[c][order] for c in wanted)]
+            yield pa.RecordBatch.from_arrays([pa.array(k[first]), *made], ["__sw_rk", *(names[c] for c in wanted)])
 
-    packed = rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k long, " + ", ".join(f"{c} binary" for c in columns))
-    return packed.withColumnRenamed("k", "__sw_rk").hint("shuffle_hash")
+    schema = _schema({names[c]: None for c in wanted}, "__sw_rk long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema).hint("shuffle_hash")
 
 
 def _segment_rows(kind: Kind, buckets: int):
-    names = {"h": np.uint64, "seg": np.uint64, "doc": np.int64, "th": np.int64, "start": np.int64, "size": np.int64}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            columns = dict(zip(names, (np.concatenate(x).astype(t) for x, t in zip(zip(*held, strict=True), names.values(), strict=True)), strict=True))
+            code, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _packed((columns["h"] % np.uint64(buckets)).astype(np.int32), columns)
+            return _by_code(code, buckets, columns, SEGMENT)
 
         for b in _slices(batches):
             found = _Found([kind.raw(t) for t in b.column("text").to_pylist()], kind, True)
             text = found.text.astype(np.int64)
             if not len(text):
                 continue
-            wanted = [np.frombuffer(x or b"", np.uint64) for x in b.column("h").to_pylist()]
+            wanted = [np.frombuffer(x or b"", np.uint64) for x in b.column("__sw_code").to_pylist()]
+            code = _code(found.h, buckets)
             ends = np.searchsorted(text, np.arange(b.num_rows + 1))
-            take = np.concatenate([np.isin(found.h[ends[i] : ends[i + 1]], w) for i, w in enumerate(wanted)])
+            take = np.concatenate([np.isin(code[ends[i] : ends[i + 1]], w) for i, w in enumerate(wanted)])
             text = text[take]
             left = found.left[take]
-            held.append((found.h[take], found.seg[take], b.column("doc_id").to_numpy()[text], b.column("__sw_th").to_numpy()[text], found.pos[take] - left, left + kind.gram + found.right[take]))
+            held.append((code[take], found.seg[take], b.column("doc_id").to_numpy(zero_copy_only=False)[text], b.column("__sw_th").to_numpy()[text], found.pos[take] - left, left + kind.gram + found.right[take]))
             if sum(len(x[0]) for x in held) > FLUSH:
                 yield flush()
         if held:
             yield flush()
 
-    return names, run
+    return run
 
 
-def _classes(names: dict[str, type], window: int, ask: bool):
+def _classes(window: int, ask: bool, buckets: int, many: int):
     """Of each anchor's classes: spans of all but the least document, or the least documents' segments to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ("bucket",)):
-            h, seg, doc, th, start, size = _unpacked(t, names)
-            if not len(h):
+            low, high, seg, doc, th, start, size = _unpacked(t, SEGMENT)
+            if not len(doc):
                 continue
-            order = np.lexsort((doc, seg, h))
-            h, seg, doc, th, start, size = (x[order] for x in (h, seg, doc, th, start, size))
-            new_h = np.r_[True, h[1:] != h[:-1]]
-            new = new_h | np.r_[True, seg[1:] != seg[:-1]]
-            first = np.flatnonzero(new)
-            least = np.repeat(doc[first], np.diff(np.r_[first, len(h)]))
+            code = _whole_code(t, low, high, buckets)
+            order = np.lexsort((doc, seg, code))
+            code, seg, doc, th, start, size = (x[order] for x in (code, seg, doc, th, start, size))
+            new_code = np.r_[True, code[1:] != code[:-1]]
+            first = np.flatnonzero(new_code | np.r_[True, seg[1:] != seg[:-1]])
+            least = np.repeat(doc[first], np.diff(np.r_[first, len(code)]))
             if ask:
-                anchor = np.cumsum(new_h) - 1
+                anchor = np.cumsum(new_code) - 1
                 n = np.bincount(anchor[first])[anchor]
                 take = (doc == least) & (n > 1) & (size >= window)
-                split = np.where(n > MANY_CLASSES, 1, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(x[take].astype(np.int64)) for x in (doc, th, start, start + size, h.view(np.int64), split)], ["k", "th", "start", "end", "h", "split"])
+                yield _by_k([x[take] for x in (doc, th, start, size, code, n > many)], ASKED, buckets)
             else:
                 take = (doc > least) & (size >= window)
-                yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (doc, th, start, start + size)], ["k", "th", "start", "end"])
+                yield _by_k([x[take] for x in (doc, th, start, size)], SPAN, buckets)
 
     return run
 
 
 def _cut_segments(kind: Kind):
+    """(g, g2, seg, k, th, start): segments by their anchor, and windows of segments taken apart, without seg, by hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        sep = b" " if kind.words else b""
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         for b in _slices(batches):
             rows: list[tuple] = []
-            columns = [b.column(c).to_pylist() for c in ("text", "doc_id", "__sw_th", "th", "start", "end", "h", "split")]
+            columns = [b.column(c).to_pylist() for c in ("text", "doc_id", "__sw_th", *(f"__sw_{c}s" for c in ASKED if c != "k"))]
             for text, doc, own, *asked in zip(*columns, strict=True):
                 if text is None:
                     continue
                 raw = kind.raw(text)
-                sep = b" " if kind.words else b""
                 symbols = raw.split(b" ") if kind.words else raw
-                for th, start, end, h, split in zip(*(np.frombuffer(x, np.int64).tolist() for x in asked), strict=True):
+                for th, start, size, code, split in zip(*(np.frombuffer(x, ASKED[c]).tolist() for c, x in zip((c for c in ASKED if c != "k"), asked, strict=True)), strict=True):
                     if th != own:
                         continue
                     if split:
-                        for s in range(start, end - kind.window + 1):
+                        for s in range(start, start + size - kind.window + 1):
                             part = symbols[s : s + kind.window]
-                            part = sep.join(part) if kind.words else part
-                            rows.append((xxhash.xxh64_intdigest(part) - 2**63, part, doc, own, s))
+                            both = np.frombuffer(xxhash.xxh3_128_digest(sep.join(part) if kind.words else part), np.int64)
+                            rows.append((int(both[0]), int(both[1]), None, doc, own, s))
                     else:
-                        part = symbols[start:end]
-                        rows.append((h, sep.join(part) if kind.words else part, doc, own, start))
+                        part = symbols[start : start + size]
+                        rows.append((code, 0, sep.join(part) if kind.words else part, doc, own, start))
             if rows:
-                types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["g", "seg", "k", "th", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["g", "g2", "seg", "k", "th", "start"])
 
     return run
 
 
-def _solved(solver: Solver):
+def _solved(kind: Kind, solver: Solver, buckets: int):
+    """Spans of what the solver finds in the segments, and of windows that a smaller document has. Rows come by g, g2, k."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[pa.RecordBatch] = []
+        last = (0, 0, 0)
+
+        def windows(b: pa.RecordBatch) -> None:
+            nonlocal last
+            g, g2, k = (b.column(c).to_numpy() for c in ("g", "g2", "k"))
+            new = np.r_[(int(g[0]), int(g2[0])) != last[:2], (g[1:] != g[:-1]) | (g2[1:] != g2[:-1])]
+            first = np.flatnonzero(new)
+            least = np.r_[last[2], k[first]][np.cumsum(new)]
+            last = (int(g[-1]), int(g2[-1]), int(least[-1]))
+            take = k > least
+            if take.any():
+                ready.append(_by_k([x[take] for x in (k, b.column("th").to_numpy(), b.column("start").to_numpy(), np.full(len(k), kind.window))], SPAN, buckets))
+
+        def segments() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                apart = np.array(b.column("seg").is_null())
+                if apart.any():
+                    windows(b.filter(pa.array(apart)))
+                if not apart.all():
+                    yield b.filter(pa.array(~apart))
+
         def solve(t: pa.Table) -> pa.RecordBatch:
             owner, start = t["k"].to_numpy(), t["start"].to_numpy()
             seg, a, b = solver(t["seg"].to_pylist(), owner)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (owner[seg], t["th"].to_numpy()[seg], start[seg] + a, start[seg] + b)], ["k", "th", "start", "end"])
+            return _by_k([owner[seg], t["th"].to_numpy()[seg], start[seg] + a, b - a], SPAN, buckets)
 
         held, size = [], 0
-        for t in runs(batches, ("g",)):  # a group's segments stay together
+        for t in runs(segments(), ("g",)):  # an anchor's segments stay together
             if t.num_rows < 2:
                 continue
             held.append(t)
@@ -359,8 +413,11 @@ def _solved(solver: Solver):
             if size > SOLVE:
                 yield solve(pa.concat_tables(held))
                 held, size = [], 0
+            while ready:
+                yield ready.pop()
         if held:
             yield solve(pa.concat_tables(held))
+        yield from ready
 
     return run
 
@@ -376,54 +433,57 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), top[last].tolist(), strict=True))
 
 
-def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, str], finish: Callable[[str | None, list[tuple[int, int]]], tuple]) -> DataFrame:
+def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, str], finish: Callable[[str | None, list[tuple[int, int]]], tuple], many: int) -> DataFrame:
     """docs with the columns `made`, which finish(text, spans) gives for each row; spans are in symbols.
 
     Rows of one doc_id are one document as far as "smaller" goes. A row with a null doc_id loses nothing and takes
     nothing from others; null texts have no symbols.
     """
-    spark = docs.sparkSession
     base = docs.drop(*made)
-    buckets = 4 * partitions(spark)
-    usable = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= (kind.window if not kind.words else 2 * kind.window - 1) // (1 if kind.words else 4)))
-    packed = usable.mapInArrow(_anchor_rows(kind, buckets), "bucket int, h binary, doc binary").repartition("bucket").sortWithinPartitions("bucket")
-    shared = packed.mapInArrow(_shared_anchors, "k long, h long")
+    buckets = 4 * partitions(docs.sparkSession)
+    least = 2 * kind.window - 1 if kind.words else kind.window // 4
+    usable = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
+    anchors = usable.mapInArrow(_anchor_rows(kind, buckets), _schema(ANCHOR)).repartition("bucket").sortWithinPartitions("bucket")
+    shared = anchors.mapInArrow(_shared_anchors(buckets), _schema(SHARED))
 
     th = F.xxhash64(text_or_empty())
     key = F.coalesce(F.col("doc_id").cast("long"), F.col("__sw_th"))
     dealt = base.withColumn("__sw_th", th).withColumn("__sw_k", key).repartition("__sw_k")
     on = F.col("__sw_k") == F.col("__sw_rk")
+    # Spans name their text by its hash only where a doc_id has several texts; elsewhere the zeros pack to nothing.
+    several = base.select("doc_id", th.alias("__sw_th")).select(key.alias("__sw_dk"), "__sw_th")
+    several = several.groupBy("__sw_dk").agg(F.min("__sw_th").alias("a"), F.max("__sw_th").alias("b")).where("a <> b").select("__sw_dk").hint("shuffle_hash")
+    dealt = dealt.join(several, F.col("__sw_k") == F.col("__sw_dk"), "left")
+    dealt = dealt.withColumn("__sw_th", F.when(F.col("__sw_dk").isNull(), F.lit(0)).otherwise(F.col("__sw_th")).cast("long")).drop("__sw_dk")
 
     def joined(lists: DataFrame, column: str) -> DataFrame:
         # A left join that keeps all of dealt's columns, so that no filter or pruning makes its exchange another one.
         listed = F.col(column).isNotNull() & F.col("doc_id").isNotNull()
         return dealt.join(lists, on, "left").withColumn("text", F.when(listed, F.col("text")))
 
-    names, tell = _segment_rows(kind, buckets)
-    told = joined(_for_documents(shared, ("h",)), "h").mapInArrow(tell, "bucket int, " + ", ".join(f"{c} binary" for c in names))
+    told = joined(_for_documents(shared, SHARED, {"code": "__sw_code"}), "__sw_code").mapInArrow(_segment_rows(kind, buckets), _schema(SEGMENT))
     told = told.repartition("bucket").sortWithinPartitions("bucket")
-    span = "k long, th long, start long, end long"
-    copies = told.mapInArrow(_classes(names, kind.window, False), span)
-    asked = told.mapInArrow(_classes(names, kind.window, True), f"{span}, h long, split long")
-    wanted = ("th", "start", "end", "h", "split")
-    segments = joined(_for_documents(asked, wanted), "h").mapInArrow(_cut_segments(kind), "g long, seg binary, k long, th long, start long")
-    rest = segments.repartition("g").sortWithinPartitions("g").mapInArrow(_solved(solver), span)
-    spans = _for_documents(copies.unionByName(rest), ("th", "start", "end")).withColumnsRenamed({"th": "__sw_ths", "start": "__sw_start", "end": "__sw_end"}).hint("shuffle_hash")
+    copies = told.mapInArrow(_classes(kind.window, False, buckets, many), _schema(SPAN))
+    asked = told.mapInArrow(_classes(kind.window, True, buckets, many), _schema(ASKED))
+    lists = _for_documents(asked, ASKED, {c: f"__sw_{c}s" for c in ASKED})
+    segments = joined(lists, "__sw_ths").mapInArrow(_cut_segments(kind), "g long, g2 long, seg binary, k long, th long, start long")
+    rest = segments.repartition("g").sortWithinPartitions("g", "g2", "k").mapInArrow(_solved(kind, solver, buckets), _schema(SPAN))
+    spans = _for_documents(copies.unionByName(rest), SPAN, {c: f"__sw_{c}s" for c in SPAN})
     out = dealt.join(spans, on, "left")
     keep = base.columns
+    types = [{"long": pa.int64(), "string": pa.string()}[t] for t in made.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = None
         for b in _slices(batches):
             rows = []
-            columns = [b.column(c).to_pylist() for c in ("text", "__sw_th", "doc_id", "__sw_ths", "__sw_start", "__sw_end")]
-            for text, own, doc, ths, start, end in zip(*columns, strict=True):
+            columns = [b.column(c).to_pylist() for c in ("text", "__sw_th", "doc_id", "__sw_ths", "__sw_starts", "__sw_sizes")]
+            for text, own, doc, ths, start, size in zip(*columns, strict=True):
                 cut: list[tuple[int, int]] = []
                 if ths is not None and doc is not None:
                     take = np.frombuffer(ths, np.int64) == own
-                    cut = merged(np.frombuffer(start, np.int64)[take], np.frombuffer(end, np.int64)[take])
+                    a = np.frombuffer(start, np.int32)[take].astype(np.int64)
+                    cut = merged(a, a + np.frombuffer(size, np.uint16)[take])
                 rows.append(finish(text, cut))
-            kinds = kinds or [{"long": pa.int64(), "string": pa.string()}[t] for t in made.values()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], [*keep, *made])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], [*keep, *made])
 
     return out.mapInArrow(run, wider(base, **made))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import wider
-from tablemill.llm.shared_windows import Kind, merged, remove_shared
+from tablemill.llm.shared_windows import MANY_CLASSES, Kind, merged, remove_shared
 
 KIND = Kind(words=True, window=50, gram=16)
 #: Words that a broadcast reference may have.
@@ -132,13 +132,13 @@ def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple:
     return b" ".join(_without((text or "").encode().split(), spans)[1]).decode(), str(spans)
 
 
-def remove_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
+def remove_substrings(docs: DataFrame, digest: bool = False, many: int = MANY_CLASSES["words"]) -> DataFrame:
     """docs with n_words, n_removed and kept_sha256, or without digest with kept_text and removed_spans (in words).
 
     A null text has no words. Equal doc_ids never take from each other; columns with the new names are replaced.
     """
     made = {"n_words": "long", "n_removed": "long", "kept_sha256": "string"} if digest else {"kept_text": "string", "removed_spans": "string"}
-    return remove_shared(docs, KIND, solve, made, _digest if digest else _kept)
+    return remove_shared(docs, KIND, solve, made, _digest if digest else _kept, many)
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, window: int = KIND.window, shard_words: int = 200_000) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tablemill.llm.shared_windows import Kind, remove_shared
+from tablemill.llm.shared_windows import MANY_CLASSES, Kind, remove_shared
 
 KIND = Kind(words=False, window=50, gram=20)
 
@@ -143,11 +143,11 @@ def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple:
     return (b"".join([*kept, raw[at:]]).decode(errors="replace"), str(spans))
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, digest: bool = False, many: int = MANY_CLASSES["bytes"]) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept_sha256, or without digest with kept_text and removed_spans.
 
     A null text has no bytes. Bytes cut out of a character leave a replacement character in kept_text, not in the
     digest. Equal doc_ids never take from each other; columns of docs with the new names are replaced.
     """
     made = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} if digest else {"kept_text": "string", "removed_spans": "string"}
-    return remove_shared(docs, KIND, solve, made, _digest if digest else _kept)
+    return remove_shared(docs, KIND, solve, made, _digest if digest else _kept, many)
