@@ -183,10 +183,15 @@ def _code(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h // n) & np.uint64(2**40 - 1)) * n + h % n
 
 
+def _low(code: np.ndarray, buckets: int) -> np.ndarray:
+    """32 bits of a code, enough to tell a document's own anchors apart; one taken by mistake is only told for nothing."""
+    return (code // np.uint64(buckets)) & np.uint64(2**32 - 1)
+
+
 #: Arrays that travel packed; codes go as 32 and 8 bits beside their bucket.
 ANCHOR = {"low": np.uint32, "high": np.uint8, "k": np.int64}
 SEGMENT = {"low": np.uint32, "high": np.uint8, "seg": np.uint64, "k": np.int64, "th": np.int64, "start": np.int32, "size": np.uint16}
-SHARED = {"k": np.int64, "code": np.int64}
+SHARED = {"k": np.int64, "low": np.uint32}
 SPAN = {"k": np.int64, "th": np.int64, "start": np.int32, "size": np.uint16}
 ASKED = SPAN | {"code": np.int64, "split": np.uint8}
 
@@ -262,7 +267,7 @@ def _shared_anchors(buckets: int):
             many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
             take = np.repeat(many, np.diff(np.r_[first, len(code)]))
             if take.any():
-                yield _by_k([doc[take], code[take]], SHARED, buckets)
+                yield _by_k([doc[take], _low(code[take], buckets)], SHARED, buckets)
 
     return run
 
@@ -299,10 +304,11 @@ def _segment_rows(kind: Kind, buckets: int):
             text = found.text.astype(np.int64)
             if not len(text):
                 continue
-            wanted = [np.frombuffer(x or b"", np.uint64) for x in b.column("__sw_code").to_pylist()]
+            wanted = [np.frombuffer(x or b"", np.uint32) for x in b.column("__sw_low").to_pylist()]
             code = _code(found.h, buckets)
+            low = _low(code, buckets).astype(np.uint32)
             ends = np.searchsorted(text, np.arange(b.num_rows + 1))
-            take = np.concatenate([np.isin(code[ends[i] : ends[i + 1]], w) for i, w in enumerate(wanted)])
+            take = np.concatenate([np.isin(low[ends[i] : ends[i + 1]], w) for i, w in enumerate(wanted)])
             text = text[take]
             left = found.left[take]
             held.append((code[take], found.seg[take], b.column("doc_id").to_numpy(zero_copy_only=False)[text], b.column("__sw_th").to_numpy()[text], found.pos[take] - left, left + kind.gram + found.right[take]))
@@ -408,11 +414,11 @@ def _solved(kind: Kind, solver: Solver, buckets: int):
         for t in runs(segments(), ("g",)):  # an anchor's segments stay together
             if t.num_rows < 2:
                 continue
-            held.append(t)
-            size += t["seg"].nbytes
-            if size > SOLVE:
+            if held and size + t["seg"].nbytes > SOLVE:
                 yield solve(pa.concat_tables(held))
                 held, size = [], 0
+            held.append(t)
+            size += t["seg"].nbytes
             while ready:
                 yield ready.pop()
         if held:
@@ -440,7 +446,7 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
     nothing from others; null texts have no symbols.
     """
     base = docs.drop(*made)
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
     least = 2 * kind.window - 1 if kind.words else kind.window // 4
     usable = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
     anchors = usable.mapInArrow(_anchor_rows(kind, buckets), _schema(ANCHOR)).repartition("bucket").sortWithinPartitions("bucket")
@@ -461,7 +467,7 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
         listed = F.col(column).isNotNull() & F.col("doc_id").isNotNull()
         return dealt.join(lists, on, "left").withColumn("text", F.when(listed, F.col("text")))
 
-    told = joined(_for_documents(shared, SHARED, {"code": "__sw_code"}), "__sw_code").mapInArrow(_segment_rows(kind, buckets), _schema(SEGMENT))
+    told = joined(_for_documents(shared, SHARED, {"low": "__sw_low"}), "__sw_low").mapInArrow(_segment_rows(kind, buckets), _schema(SEGMENT))
     told = told.repartition("bucket").sortWithinPartitions("bucket")
     copies = told.mapInArrow(_classes(kind.window, False, buckets, many), _schema(SPAN))
     asked = told.mapInArrow(_classes(kind.window, True, buckets, many), _schema(ASKED))

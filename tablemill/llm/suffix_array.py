@@ -19,47 +19,47 @@ from tablemill.llm.shared_windows import MANY_CLASSES, Kind, remove_shared
 KIND = Kind(words=False, window=50, gram=20)
 
 
-def enhanced(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, common prefix of each suffix with the one before, up to depth or a little over).
+def enhanced(symbols: np.ndarray, depth: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, common prefix of each suffix with the one before), for suffixes told apart within depth symbols.
 
-    Ranks by prefix doubling from four symbols on, kept at each width to read common prefixes from. Symbols are below
-    2**21 and end with one that occurs once.
+    Ranks by prefix multiplication: of four symbols, then of three (in large arrays two) ranks side by side, kept at
+    each width to read common prefixes from. Prefixes shorter than `least` may read as shorter still. Symbols are below
+    2**16 - 1 and end with one that occurs once.
     """
     n = len(symbols)
-    pad = np.r_[symbols.astype(np.int64) + 1, np.zeros(3, np.int64)]
-    key = (pad[:n] << 42) | (pad[1 : n + 1] << 21) | pad[2 : n + 2]
-    width, ranks = 3, []
+    fold, bits = (3, 21) if n < 2**21 - 1 else (2, 31)
+    pad = np.r_[symbols.astype(np.int64) + 1, np.zeros(4, np.int64)].view(np.uint64)
+    key = pad[:n]
+    for k in range(1, 4):
+        key = (key << np.uint64(16)) | pad[k : n + k]
+    width, ranks = 4, []
     while True:
-        order = np.argsort(key, kind="stable" if n < 1000 else None)
-        sorted_ = key[order]
+        order = np.argsort(key)
+        ordered = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
+        rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
         ranks.append((width, rank))
         if width >= depth or rank[order[-1]] == n - 1:
             break
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - width)] = rank[width:] + 1
-        key = (rank << 32) | ahead
-        width *= 2
-    a, b = order[1:].copy(), order[:-1].copy()
-    common = np.zeros(n - 1, np.int64)
-    alive = np.arange(n - 1)
-    for width, rank in reversed(ranks):
-        x, y = a[alive], b[alive]
-        ok = np.maximum(x, y) < n
-        ok[ok] = rank[x[ok]] == rank[y[ok]]
-        hit = alive[ok]
-        common[hit] += width
-        a[hit] += width
-        b[hit] += width
-    for _ in range(2):
-        ok = np.maximum(a, b) < n
-        ok[ok] = symbols[a[ok]] == symbols[b[ok]]
-        common[ok] += 1
-        a[ok] += 1
-        b[ok] += 1
-        a[~ok] = n
-    return order, np.r_[0, common]
+        key = rank
+        for k in range(1, fold):
+            ahead = np.zeros(n, np.int64)
+            ahead[: max(0, n - k * width)] = rank[k * width :] + 1
+            key = (key << bits) | ahead
+        width *= fold
+    common = np.zeros(n, np.int64)
+    alive = np.arange(1, n)
+    if sure := [r for w, r in ranks if w <= least]:
+        alive = alive[sure[-1][order[1:]] == sure[-1][order[:-1]]]
+    a, b, found = order[alive], order[alive - 1], np.zeros(len(alive), np.int64)
+    for width, rank in [*reversed(ranks), (1, symbols)]:
+        for _ in range(3 if width == 1 else fold - 1):
+            ok = np.maximum(a, b) < n
+            ok[ok] = rank[a[ok]] == rank[b[ok]]
+            step = width * ok
+            a, b, found = a + step, b + step, found + step
+    common[alive] = found
+    return order, common
 
 
 def maximal_repeats(symbols: np.ndarray, order: np.ndarray, common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -101,7 +101,7 @@ def repeat_groups(segments: list[bytes], least: int) -> Iterator[tuple[int, list
     if not segments:
         return
     symbols, segment, pos = shard(segments)
-    order, common = enhanced(symbols, max(map(len, segments)))
+    order, common = enhanced(symbols, max(map(len, segments)), least)
     for length, first, end in maximal_repeats(symbols, order, common, least):
         at = order[first:end]
         yield length, list(zip(segment[at].tolist(), pos[at].tolist(), strict=True))
@@ -110,7 +110,7 @@ def repeat_groups(segments: list[bytes], least: int) -> Iterator[tuple[int, list
 def solve(segments: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, start, end) of occurrences that a smaller owner's segment repeats."""
     symbols, segment, pos = shard(segments)
-    order, common = enhanced(symbols, max(map(len, segments)))
+    order, common = enhanced(symbols, max(map(len, segments)), KIND.window)
     own = owner[segment[order]]
     out: list[tuple[np.ndarray, int]] = []
     for length, first, end in maximal_repeats(symbols, order, common, KIND.window):
