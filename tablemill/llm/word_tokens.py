@@ -6,15 +6,24 @@ The vocabularies here drop white space and cut words at it, so a text's ids are
 from __future__ import annotations
 
 import array
+import json
+import unicodedata
+from itertools import chain
 
 import regex
 
 #: Pieces that a worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 _SPACE = regex.compile(r"\s+")
 _TAIL = ".,!?;:|%$&*#-)\"'"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
 class WordTokens:
     """ids(text) as little-endian unsigned 32-bit integers."""
 
@@ -26,36 +35,58 @@ class WordTokens:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.merge = self.model.model.tokenize  # the merges alone, for pieces that need nothing before them
+        self.letters = _byte_letters()
+        with open(path) as f:
+            kinds = [x["type"] for x in json.load(f)["pre_tokenizer"]["pretokenizers"]]
+        self.direct = kinds == ["Split", "ByteLevel"]  # letters stay together and are then spelled by bytes
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array.array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
     def learn(self, pieces: set[str]) -> None:
         """Put pieces into the cache; a word with punctuation behind it is two pieces, as the words pattern cuts there too."""
         cache = self.cache
-        if len(cache) + len(pieces) > CACHE_PIECES:
-            keep = {p: cache[p] for p in pieces if p in cache}
+        new = pieces.difference(cache)
+        if len(cache) + len(new) > CACHE_PIECES:
+            keep = {p: cache[p] for p in pieces - new}
             cache.clear()
             cache |= keep
-        new = [p for p in pieces if p not in cache]
-        core = {p: p.rstrip(_TAIL) for p in new}
-        split = {p: c for p, c in core.items() if c != p and c.isalpha() and not p[len(c) :].startswith("'")}
-        todo = list(({p for p in new if p not in split} | set(split.values()) | {p[len(c) :] for p, c in split.items()}) - cache.keys())
-        cache |= zip(todo, self._encode(todo), strict=True)
-        for p, c in split.items():
-            cache[p] = cache[c] + cache[p[len(c) :]]
+        rest, split, words = [], [], set()
+        for p in new:
+            core = p.rstrip(_TAIL)
+            if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core)) and core.islower() and p[len(core) : len(core) + 1] != "'":
+                words.add(core)
+                if core != p:
+                    split.append((p, core, p[len(core) :]))
+            else:
+                rest.append(p)
+        if not self.direct:
+            rest += words
+        else:
+            word = self._word
+            for w in words.difference(cache):
+                cache[w] = word(w)
+        rest = list({*rest, *(t for _, _, t in split)}.difference(cache))
+        cache |= zip(rest, self._encode(rest), strict=True)
+        for p, core, tail in split:
+            cache[p] = cache[core] + cache[tail]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. Pieces are lower-cased before the cache where that can't change what the model sees."""
         cut = []
         for t in texts:
             # str.split() also cuts at 0x1C-0x1F, which the model doesn't; lower() has a special rule for capital sigma.
-            odd = any(x in t for x in "\x1c\x1d\x1e\x1f") or "Σ" in t
+            odd = "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t or "\u03a3" in t
             cut.append(_SPACE.split(t) if odd else t.lower().split())
-        self.learn({p for c in cut for p in c})
-        cache = self.cache
-        return [b"".join([cache[p] for p in c]) for c in cut]
+        self.learn(set(chain.from_iterable(cut)))
+        find = self.cache.__getitem__
+        return [b"".join(map(find, c)) for c in cut]
 
 
 _loaded: dict[str, WordTokens] = {}
