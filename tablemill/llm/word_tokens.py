@@ -6,14 +6,15 @@ The vocabularies here drop white space and cut words at it, so a text's ids are
 from __future__ import annotations
 
 import array
+import gc
 import json
 import unicodedata
 from itertools import chain
 
 import regex
 
-#: Pieces that a worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 250_000
+#: Pieces that each of a worker's two generations of the cache holds; what isn't met in a generation is forgotten.
+CACHE_PIECES = 200_000
 _SPACE = regex.compile(r"\s+")
 _TAIL = ".,!?;:|%$&*#-)\"'"
 
@@ -41,44 +42,61 @@ class WordTokens:
             kinds = [x["type"] for x in json.load(f)["pre_tokenizer"]["pretokenizers"]]
         self.direct = kinds == ["Split", "ByteLevel"]  # letters stay together and are then spelled by bytes
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array.array("I", [t.id for t in self.merge(spelled)]).tobytes()
+    def _words(self, words: list[str]) -> None:
+        """Ids of words that need nothing before the merges, into the cache."""
+        merge, letters, ids, ends = self.merge, self.letters, [], []
+        for w in words:
+            ids += [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]
+            ends.append(4 * len(ids))
+        data, start, cache = array.array("I", ids).tobytes(), 0, self.cache
+        for w, end in zip(words, ends, strict=True):
+            cache[w] = data[start:end]
+            start = end
 
     def learn(self, pieces: set[str]) -> None:
         """Put pieces into the cache; a word with punctuation behind it is two pieces, as the words pattern cuts there too."""
-        cache = self.cache
-        new = pieces.difference(cache)
-        if len(cache) + len(new) > CACHE_PIECES:
-            keep = {p: cache[p] for p in pieces - new}
-            cache.clear()
-            cache |= keep
+        new = pieces.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_PIECES:
+            self.older, self.cache, new = self.cache, {}, pieces
+        cache, older = self.cache, self.older
+        known = new.intersection(older)
+        cache |= {p: older[p] for p in known}
         rest, split, words = [], [], set()
-        for p in new:
-            core = p.rstrip(_TAIL)
-            if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core)) and core.islower() and p[len(core) : len(core) + 1] != "'":
+        for p in new.difference(known):
+            if p.isalpha():
+                core = p
+            else:
+                core = p.rstrip(_TAIL)
+                if not core.isalpha() or p[len(core)] == "'":
+                    rest.append(p)
+                    continue
+                split.append((p, core))
+            if self.direct and core.islower() and (core.isascii() or unicodedata.is_normalized("NFC", core)):
                 words.add(core)
-                if core != p:
-                    split.append((p, core, p[len(core) :]))
             else:
-                rest.append(p)
-        if not self.direct:
-            rest += words
-        else:
-            word = self._word
-            for w in words.difference(cache):
-                cache[w] = word(w)
-        rest = list({*rest, *(t for _, _, t in split)}.difference(cache))
+                rest.append(core)
+        self._words(list(words.difference(cache)))
+        rest = list({*rest, *(p[len(c) :] for p, c in split)}.difference(cache))
         cache |= zip(rest, self._encode(rest), strict=True)
-        for p, core, tail in split:
-            cache[p] = cache[core] + cache[tail]
+        for p, core in split:
+            cache[p] = cache[core] + cache[p[len(core) :]]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. Pieces are lower-cased before the cache where that can't change what the model sees."""
+        collecting = gc.isenabled()
+        gc.disable()  # what follows makes no cycles, but more lists than the collector likes
+        try:
+            return self._batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         cut = []
         for t in texts:
             # str.split() also cuts at 0x1C-0x1F, which the model doesn't; lower() has a special rule for capital sigma.
