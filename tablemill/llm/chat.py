@@ -34,12 +34,14 @@ def _steps() -> tuple[np.ndarray, dict[tuple[int, int], tuple[int, ...]]]:
     """Cost from state to a turn's state, and the empty turns put between; the same state means a merge."""
     cost, between = np.full((4, 4), FAR), {}
     for s in range(4):
-        reach = {t: () for t in NEXT[s]}
-        for t, way in list(reach.items()):
-            for u in NEXT[t]:
-                reach.setdefault(u, (*way, t))
-                for v in NEXT[u]:
-                    reach.setdefault(v, (*way, t, u))
+        reach: dict[int, tuple[int, ...]] = {}
+        todo: list[tuple[int, tuple[int, ...]]] = [(s, ())]
+        while todo:  # breadth first, so the first way to a state has the fewest empty turns
+            at, way = todo.pop(0)
+            for t in NEXT[at]:
+                if t not in reach:
+                    reach[t] = way
+                    todo.append((t, (*way, t)))
         for t, way in reach.items():
             cost[s, t], between[s, t] = INSERT * len(way), way
         if s and MERGE <= cost[s, s]:
