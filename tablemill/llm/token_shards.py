@@ -25,6 +25,8 @@ from tablemill.llm import word_tokens
 from tablemill.llm.common import partitions, text_or_empty
 
 PER_SHARD, RECORD, ROUNDS = 4096, 2048, 6
+#: Documents come in a random order here, which a larger cache of pieces makes up for.
+CACHE_PIECES = 600_000
 ENTRY = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("no_id", "<i8"), ("start", "<i8"), ("length", "<i8"), ("crc32", "<i8")])
 
 
@@ -92,7 +94,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 1, per_s
     ranged = numbered.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(partitions(docs.sparkSession), "shard").sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = word_tokens.load(tokenizer)
+        model = word_tokens.load(tokenizer, CACHE_PIECES)
         fs, top = _files(path)
         fs.create_dir(top, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
@@ -113,8 +115,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 1, per_s
             return pa.RecordBatch.from_pylist([{"shard": shard, "n_sequences": len(entries), "n_ids": at, "crc32": crc}])
 
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
+            for k in range(0, whole.num_rows, 1500):
+                b = whole.slice(k, 1500)
                 coded = model.batch(b.column("text").to_pylist())
                 for own, slot, doc, ids in zip(b.column("shard").to_pylist(), b.column("slot").to_pylist(), b.column("doc_id").to_pylist(), coded, strict=True):
                     if own != shard:

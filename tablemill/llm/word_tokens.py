@@ -14,7 +14,7 @@ from itertools import chain
 import regex
 
 #: Pieces that each of a worker's two generations of the cache holds; what isn't met in a generation is forgotten.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 _SPACE = regex.compile(r"\s+")
 _TAIL = ".,!?;:|%$&*#-)\"'"
 
@@ -28,7 +28,7 @@ def _byte_letters() -> dict[int, str]:
 class WordTokens:
     """ids(text) as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,6 +41,7 @@ class WordTokens:
         with open(path) as f:
             kinds = [x["type"] for x in json.load(f)["pre_tokenizer"]["pretokenizers"]]
         self.direct = kinds == ["Split", "ByteLevel"]  # letters stay together and are then spelled by bytes
+        self.cache_pieces = cache_pieces
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -61,7 +62,7 @@ class WordTokens:
     def learn(self, pieces: set[str]) -> None:
         """Put pieces into the cache; a word with punctuation behind it is two pieces, as the words pattern cuts there too."""
         new = pieces.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_PIECES:
+        if len(self.cache) + len(new) > self.cache_pieces:
             self.older, self.cache, new = self.cache, {}, pieces
         cache, older = self.cache, self.older
         known = new.intersection(older)
@@ -110,8 +111,9 @@ class WordTokens:
 _loaded: dict[str, WordTokens] = {}
 
 
-def load(path: str) -> WordTokens:
+def load(path: str, cache_pieces: int = CACHE_PIECES) -> WordTokens:
     """One tokenizer a worker process."""
     if path not in _loaded:
         _loaded[path] = WordTokens(path)
+    _loaded[path].cache_pieces = cache_pieces
     return _loaded[path]
