@@ -347,15 +347,20 @@ def _classes(window: int, ask: bool, buckets: int, many: int):
 
 
 def _cut_segments(kind: Kind):
-    """(g, g2, seg, k, th, start): segments by their anchor, and windows of segments taken apart, without seg, by hash."""
+    """(g, g2, seg, k, th, start, done): segments by their anchor, and windows of segments taken apart, without seg, by hash.
+
+    Of equal windows in a batch only the least document's still has to be compared, as a map-side combine: so a window
+    that very many documents have doesn't send a row for each of them to one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         sep = b" " if kind.words else b""
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         for b in _slices(batches):
             rows: list[tuple] = []
+            windows: list[tuple] = []
             columns = [b.column(c).to_pylist() for c in ("text", "doc_id", "__sw_th", *(f"__sw_{c}s" for c in ASKED if c != "k"))]
             for text, doc, own, *asked in zip(*columns, strict=True):
                 if text is None:
@@ -368,13 +373,23 @@ def _cut_segments(kind: Kind):
                     if split:
                         for s in range(start, start + size - kind.window + 1):
                             part = symbols[s : s + kind.window]
-                            both = np.frombuffer(xxhash.xxh3_128_digest(sep.join(part) if kind.words else part), np.int64)
-                            rows.append((int(both[0]), int(both[1]), None, doc, own, s))
+                            windows.append((xxhash.xxh3_128_digest(sep.join(part) if kind.words else part), doc, own, s))
                     else:
                         part = symbols[start : start + size]
-                        rows.append((code, 0, sep.join(part) if kind.words else part, doc, own, start))
+                        rows.append((code, 0, sep.join(part) if kind.words else part, doc, own, start, False))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["g", "g2", "seg", "k", "th", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["g", "g2", "seg", "k", "th", "start", "done"])
+            if windows:
+                digest, *others = zip(*windows, strict=True)
+                g, g2 = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2).T
+                k, th, start = (np.array(x, np.int64) for x in others)
+                order = np.lexsort((k, g2, g))
+                g, g2, k, th, start = (x[order] for x in (g, g2, k, th, start))
+                first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (g2[1:] != g2[:-1])])
+                # A window that a smaller document of this batch has is settled, and goes anywhere.
+                done = k > np.repeat(k[first], np.diff(np.r_[first, len(k)]))
+                g = np.where(done, _mix((k * 65537 + start).view(np.uint64)).view(np.int64), g)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(g2), pa.nulls(len(g), pa.binary()), pa.array(k), pa.array(th), pa.array(start), pa.array(done)], ["g", "g2", "seg", "k", "th", "start", "done"])
 
     return run
 
@@ -399,9 +414,12 @@ def _solved(kind: Kind, solver: Solver, buckets: int):
 
         def segments() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                apart = np.array(b.column("seg").is_null())
-                if apart.any():
-                    windows(b.filter(pa.array(apart)))
+                apart, done = np.array(b.column("seg").is_null()), b.column("done").to_numpy(zero_copy_only=False)
+                if done.any():
+                    d = b.filter(b.column("done"))
+                    ready.append(_by_k([d.column("k").to_numpy(), d.column("th").to_numpy(), d.column("start").to_numpy(), np.full(d.num_rows, kind.window)], SPAN, buckets))
+                if (apart & ~done).any():
+                    windows(b.filter(pa.array(apart & ~done)))
                 if not apart.all():
                     yield b.filter(pa.array(~apart))
 
@@ -472,7 +490,7 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
     copies = told.mapInArrow(_classes(kind.window, False, buckets, many), _schema(SPAN))
     asked = told.mapInArrow(_classes(kind.window, True, buckets, many), _schema(ASKED))
     lists = _for_documents(asked, ASKED, {c: f"__sw_{c}s" for c in ASKED})
-    segments = joined(lists, "__sw_ths").mapInArrow(_cut_segments(kind), "g long, g2 long, seg binary, k long, th long, start long")
+    segments = joined(lists, "__sw_ths").mapInArrow(_cut_segments(kind), "g long, g2 long, seg binary, k long, th long, start long, done boolean")
     rest = segments.repartition("g").sortWithinPartitions("g", "g2", "k").mapInArrow(_solved(kind, solver, buckets), _schema(SPAN))
     spans = _for_documents(copies.unionByName(rest), SPAN, {c: f"__sw_{c}s" for c in SPAN})
     out = dealt.join(spans, on, "left")
