@@ -162,7 +162,7 @@ class Places:
         return first + (rank - rank0) // each, offsets[(rank - rank0) % each]
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, cache_pieces: int = word_tokens.CACHE_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth): whole texts' ids and end_id, cut at capacity.
 
     nth counts a partition's pieces of one length. A null text is empty: one piece that holds end_id alone.
@@ -174,11 +174,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        model = word_tokens.load(tokenizer)
+        model = word_tokens.load(tokenizer, cache_pieces)
         seen: dict[int, int] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 1500):
+                b = whole.slice(at, 1500)
                 rows: list[tuple] = []
                 for doc, ids in zip(b.column("doc_id").to_pylist(), model.batch(b.column("text").to_pylist()), strict=True):
                     ids += end
@@ -219,10 +219,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, wider(ranked.select(columns), sequence_id="long", offset="long"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, cache_pieces: int = word_tokens.CACHE_PIECES) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty, null doc_ids and repeated rows are packed like others, extra columns of docs don't matter.
     """
-    packed = pack(cut(cut_pieces(docs, tokenizer, capacity, end_id)), capacity)
+    packed = pack(cut(cut_pieces(docs, tokenizer, capacity, end_id, cache_pieces)), capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -61,7 +61,7 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), cache_pieces=600_000)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
