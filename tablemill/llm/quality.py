@@ -76,7 +76,7 @@ RULES: dict[str, Callable[[str, tuple], bool]] = {
     "duplicate_lines": lambda t, m: m[3] >= 5 and m[3] > 0.3 * (t.count("\n") + 1),
     "exclamation": lambda t, m: t.count("!") > 0.3 * m[0],
     "shouting": _shouting,
-    "word_variety": lambda t, m: m[0] >= 50 and len(set(t.split())) < 0.1 * m[0],
+    "word_variety": lambda t, m: m[0] >= 50 and len(set(t.encode().split())) < 0.1 * m[0],
 }
 
 

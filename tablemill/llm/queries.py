@@ -16,7 +16,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(documents(spark, sf_dir)).drop("text")
+    return quality.quality(documents(spark, sf_dir)).drop("text", "rejected_by")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +84,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM documents
+        ), five AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n
+            FROM d, unnest(range(1, len(w) - 3)) u(i)
+        ), twice AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM five, range(5) r(k) WHERE n > 1 GROUP BY doc_id
+        ), m AS (
+            SELECT d.doc_id, t, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM d LEFT JOIN twice USING (doc_id)
+        ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT n_symbols > 0.1 * n_words AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+               AND NOT (n_dup_lines >= 5 AND n_dup_lines > 0.3 * (length(t) - length(replace(t, chr(10), '')) + 1))
+               AND NOT length(t) - length(replace(t, '!', '')) > 0.3 * n_words
+               AND NOT (n_words >= 20 AND length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(regexp_replace(t, '[^a-z]', '', 'g')))
+               AND NOT (n_words >= 50 AND len(list_distinct(w)) < 0.1 * n_words) AS kept
+        FROM b""",
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op7_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+        windows AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 49], ' ')) AS first FROM d, unnest(range(1, len(w) - 48)) u(i)),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM windows, range(50) r(k) WHERE first < doc_id),
+        kept AS (SELECT d.doc_id, u.i, w[u.i] AS word FROM d, unnest(range(1, len(w) + 1)) u(i) ANTI JOIN gone ON gone.doc_id = d.doc_id AND gone.i = u.i),
+        joined AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM kept GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN joined USING (doc_id)""",
+    "op8_suffix_array": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        windows AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(h, 2 * i + 1, 100)) AS first FROM d, unnest(range(0, length(h) // 2 - 49)) u(i)),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM windows, range(50) r(k) WHERE first < doc_id),
+        kept AS (SELECT d.doc_id, u.i, substr(h, 2 * u.i + 1, 2) AS b FROM d, unnest(range(0, length(h) // 2)) u(i) ANTI JOIN gone ON gone.doc_id = d.doc_id AND gone.i = u.i),
+        joined AS (SELECT doc_id, count(*) AS n, string_agg(b, '' ORDER BY i) AS h2 FROM kept GROUP BY doc_id),
+        spans AS (SELECT doc_id, count(*) FILTER (WHERE last IS NULL OR last < i - 1) AS n_spans FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM gone) GROUP BY doc_id)
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, length(h) // 2 - coalesce(n, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h2, ''))) AS kept_sha256
+        FROM d LEFT JOIN joined USING (doc_id) LEFT JOIN spans USING (doc_id)""",
 }
