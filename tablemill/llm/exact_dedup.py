@@ -40,9 +40,12 @@ def mark_copies(docs: DataFrame, normalised: Column | None = None, keep: str = "
     norm = text_or_empty() if normalised is None else normalised
     keyed = base.withColumn("__ed_n", norm).withColumn("__ed_h", F.xxhash64("__ed_n"))
     hot = _hot(keyed)
-    salt = F.when(F.col("__ed_h").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0)
-    key = ["__ed_p", "__ed_h", "__ed_s"]
-    dealt = keyed.withColumn("__ed_p", F.substring("__ed_n", 1, 24)).withColumn("__ed_s", salt.cast("int")).repartitionByRange(partitions(docs.sparkSession), *key)
+    dealt = keyed.withColumn("__ed_p", F.substring("__ed_n", 1, 24))
+    key = ["__ed_p", "__ed_h"]
+    if hot:  # a constant salt would be folded away, and the window below would shuffle again
+        salt = F.when(F.col("__ed_h").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0))
+        dealt, key = dealt.withColumn("__ed_s", salt.cast("int")), [*key, "__ed_s"]
+    dealt = dealt.repartitionByRange(partitions(docs.sparkSession), *key)
     first = F.col("doc_id").asc_nulls_first() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
     near = Window.partitionBy(*key, "__ed_n").orderBy(first)
     out = dealt.withColumn("keep_id", F.first("doc_id").over(near)).withColumn("group_size", F.count("*").over(near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

@@ -72,8 +72,9 @@ def test_exact_dedup(spark, rows, keep, monkeypatch):
 
 
 def test_exact_dedup_is_native(spark, rows):
-    plan = exact_dedup.mark_copies(frame(spark, rows))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    plan = exact_dedup.mark_copies(frame(spark, rows))._jdf.queryExecution()
+    assert not re.search("Python|Pandas|Arrow", plan.toString())
+    assert re.findall(r"Exchange (\w+)", plan.executedPlan().toString()) == ["rangepartitioning"]
 
 
 # --- quality
