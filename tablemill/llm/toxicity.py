@@ -6,7 +6,8 @@ potential sums weights of its word and prefixes, which the fit learns together w
 conditional likelihood with forward-backward expectations. A document's score is a logistic function of its tokens'
 forward-backward marginals; tokens with a marginal above one half are its offending spans.
 
-The fit uses at most FIT_DOCS labelled documents of each label, the first by a hash of doc_id; scores use whole texts.
+The fit uses at most FIT_DOCS labelled documents of each label, the first by a hash of doc_id, and of those the texts of
+at most FIT_CHARS characters, which bounds what the driver holds; scores use whole texts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tablemill.llm.simhash import fingerprint
 
 #: Labelled documents of each label that the fit uses at most.
 FIT_DOCS = 1500
+#: Longest text that the fit uses.
+FIT_CHARS = 200_000
 #: Features that are kept at most, those of most support first.
 MAX_FEATURES = 100_000
 THRESHOLD = 0.7
@@ -216,13 +219,18 @@ def _calibrate(model: Model, docs: list[list[bytes]], labels: list[int]) -> None
     model.a, model.b, model.c = map(float, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """Fit on rows of labels(doc_id, toxic) whose crc32 of doc_id as text mod 3 is not 1; null labels and texts are left out."""
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
+    """Fit on rows of labels(doc_id, toxic) whose crc32 of doc_id as text mod 3 is not 1; null labels and texts are left out.
+
+    Rows of docs that share a doc_id count once, with the least of their texts, however many they are.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("r", F.xxhash64("doc_id"))
     picked = usable.where("toxic = 1").orderBy("r", "doc_id").limit(fit_docs).unionByName(usable.where("toxic = 0").orderBy("r", "doc_id").limit(fit_docs))
     # At most 2 * fit_docs ids: a bounded broadcast, which spares a shuffle of the texts.
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").collect()
+    usable_docs = docs.where(F.length("text") <= fit_chars).select("doc_id", "text")
+    found = usable_docs.join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 

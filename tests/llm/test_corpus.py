@@ -423,6 +423,16 @@ def test_training_ignores_held_out_labels(spark):
     assert toxicity.train(docs, labels).weights == {}
 
 
+def test_training_counts_a_repeated_document_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((sorted(texts), sorted(labels))))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:4]
+    docs = frame(spark, [(ids[0], "a")] * 50 + [(ids[0], "b"), (ids[1], None), (ids[2], "w " * 200), (ids[3], ""), (None, "c")])
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] * 2, "doc_id long, toxic int")
+    toxicity.train(docs, labels, fit_chars=100)
+    assert seen == [(["", "a"], [0, 1])]
+
+
 # --- chat
 
 
