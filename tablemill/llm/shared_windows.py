@@ -6,8 +6,8 @@ about two grams in (window - gram) are told to others. Stages:
 1. Anchors' hashes meet by hash, packed by bucket; those found in two documents or more go back to their documents.
 2. A document then tells, for each such anchor, a hash of its segment: all the symbols that windows around the anchor
    can cover. Equal segments of one anchor form a class. All but the class's least document lose the segment whole.
-3. Where an anchor has several classes, the segments of their least documents meet in a solver, which finds what they
-   share by the operator's own method. An anchor with very many classes would be one large group; its segments are
+3. Where an anchor has several classes, the segments of their least documents meet in a solver, one for each class and
+   text however often the text has it, which finds what they share by the operator's own method. An anchor with very many classes would be one large group; its segments are
    taken apart into windows, whose 128-bit hashes spread over all partitions, and equal ones are a class again.
 4. The spans join the documents.
 
@@ -338,7 +338,12 @@ def _classes(window: int, ask: bool, buckets: int, many: int):
                 anchor = np.cumsum(new_code) - 1
                 n = np.bincount(anchor[first])[anchor]
                 take = (doc == least) & (n > 1) & (size >= window)
-                yield _by_k([x[take] for x in (doc, th, start, size, code, n > many)], ASKED, buckets)
+                # What a solver gets: one segment of each class and text, however often the text has it.
+                own = np.flatnonzero(take)
+                own = own[np.lexsort((th[own], seg[own], code[own]))]
+                once = own[np.r_[True, np.any([x[own[1:]] != x[own[:-1]] for x in (code, seg, th, doc)], axis=0)]] if len(own) else own
+                held = np.bincount(anchor[once], minlength=anchor[-1] + 1)[anchor]
+                yield _by_k([x[take] for x in (doc, th, start, size, code, np.maximum(n, held) > many)], ASKED, buckets)
             else:
                 take = (doc > least) & (size >= window)
                 yield _by_k([x[take] for x in (doc, th, start, size)], SPAN, buckets)
@@ -347,8 +352,9 @@ def _classes(window: int, ask: bool, buckets: int, many: int):
 
 
 def _cut_segments(kind: Kind):
-    """(g, g2, seg, k, th, start, done): segments by their anchor, and windows of segments taken apart, without seg, by hash.
+    """(g, g2, seg, k, th, start, starts, done): segments by their anchor, and windows of segments taken apart, without seg, by hash.
 
+    A segment that a text has several times goes once; starts, else null, packs all its places.
     Of equal windows in a batch only the least document's still has to be compared, as a map-side combine: so a window
     that very many documents have doesn't send a row for each of them to one task.
     """
@@ -357,7 +363,8 @@ def _cut_segments(kind: Kind):
         import xxhash
 
         sep = b" " if kind.words else b""
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        names = ["g", "g2", "seg", "k", "th", "start", "starts", "done"]
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
         for b in _slices(batches):
             rows: list[tuple] = []
             windows: list[tuple] = []
@@ -367,6 +374,7 @@ def _cut_segments(kind: Kind):
                     continue
                 raw = kind.raw(text)
                 symbols = raw.split(b" ") if kind.words else raw
+                places: dict[tuple[int, bytes], list[int]] = {}
                 for th, start, size, code, split in zip(*(np.frombuffer(x, ASKED[c]).tolist() for c, x in zip((c for c in ASKED if c != "k"), asked, strict=True)), strict=True):
                     if th != own:
                         continue
@@ -376,9 +384,10 @@ def _cut_segments(kind: Kind):
                             windows.append((xxhash.xxh3_128_digest(sep.join(part) if kind.words else part), doc, own, s))
                     else:
                         part = symbols[start : start + size]
-                        rows.append((code, 0, sep.join(part) if kind.words else part, doc, own, start, False))
+                        places.setdefault((code, sep.join(part) if kind.words else part), []).append(start)
+                rows += [(code, 0, seg, doc, own, at[0], np.array(at, np.int64).tobytes() if len(at) > 1 else None, False) for (code, seg), at in places.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["g", "g2", "seg", "k", "th", "start", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
             if windows:
                 digest, *others = zip(*windows, strict=True)
                 g, g2 = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2).T
@@ -389,7 +398,7 @@ def _cut_segments(kind: Kind):
                 # A window that a smaller document of this batch has is settled, and goes anywhere.
                 done = k > np.repeat(k[first], np.diff(np.r_[first, len(k)]))
                 g = np.where(done, _mix((k * 65537 + start).view(np.uint64)).view(np.int64), g)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(g2), pa.nulls(len(g), pa.binary()), pa.array(k), pa.array(th), pa.array(start), pa.array(done)], ["g", "g2", "seg", "k", "th", "start", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(g2), pa.nulls(len(g), pa.binary()), pa.array(k), pa.array(th), pa.array(start), pa.nulls(len(g), pa.binary()), pa.array(done)], names)
 
     return run
 
@@ -426,7 +435,19 @@ def _solved(kind: Kind, solver: Solver, buckets: int):
         def solve(t: pa.Table) -> pa.RecordBatch:
             owner, start = t["k"].to_numpy(), t["start"].to_numpy()
             seg, a, b = solver(t["seg"].to_pylist(), owner)
-            return _by_k([owner[seg], t["th"].to_numpy()[seg], start[seg] + a, b - a], SPAN, buckets)
+            own, th = owner[seg], t["th"].to_numpy()[seg]
+            columns = [own, th, start[seg] + a, b - a]
+            several = np.array(t["starts"].is_valid())[seg]
+            if several.any():
+                parts = [[x[~several] for x in columns]]
+                found = np.flatnonzero(several)[np.argsort(seg[several], kind="stable")]
+                for of in np.split(found, np.flatnonzero(np.diff(seg[found])) + 1):
+                    s = int(seg[of[0]])
+                    at = np.frombuffer(t["starts"][s].as_py(), np.int64)
+                    for first, end in merged(a[of], b[of]):
+                        parts.append([np.full(len(at), owner[s]), np.full(len(at), t["th"][s].as_py()), at + first, np.full(len(at), end - first)])
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            return _by_k(columns, SPAN, buckets)
 
         held, size = [], 0
         for t in runs(segments(), ("g",)):  # an anchor's segments stay together
@@ -490,7 +511,7 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
     copies = told.mapInArrow(_classes(kind.window, False, buckets, many), _schema(SPAN))
     asked = told.mapInArrow(_classes(kind.window, True, buckets, many), _schema(ASKED))
     lists = _for_documents(asked, ASKED, {c: f"__sw_{c}s" for c in ASKED})
-    segments = joined(lists, "__sw_ths").mapInArrow(_cut_segments(kind), "g long, g2 long, seg binary, k long, th long, start long, done boolean")
+    segments = joined(lists, "__sw_ths").mapInArrow(_cut_segments(kind), "g long, g2 long, seg binary, k long, th long, start long, starts binary, done boolean")
     rest = segments.repartition("g").sortWithinPartitions("g", "g2", "k").mapInArrow(_solved(kind, solver, buckets), _schema(SPAN))
     spans = _for_documents(copies.unionByName(rest), SPAN, {c: f"__sw_{c}s" for c in SPAN})
     out = dealt.join(spans, on, "left")

@@ -27,6 +27,8 @@ def enhanced(symbols: np.ndarray, depth: int, least: int = 0) -> tuple[np.ndarra
     2**16 - 1 and end with one that occurs once.
     """
     n = len(symbols)
+    if n and symbols.max() >= 2**16 - 1:
+        raise ValueError("a symbol passes 16 bits: too many segments in one array")
     fold, bits = (3, 21) if n < 2**21 - 1 else (2, 31)
     pad = np.r_[symbols.astype(np.int64) + 1, np.zeros(4, np.int64)].view(np.uint64)
     key = pad[:n]
