@@ -204,7 +204,7 @@ def _packed(bucket: np.ndarray, columns: list[np.ndarray], kinds: dict[str, type
     """One row for each bucket: its rows of each column as bytes."""
     order = np.argsort(bucket, kind="stable")
     names, first = np.unique(bucket[order], return_index=True)
-    ends = np.r_[first[1:], len(order)]
+    ends = np.r_[first[1:], len(order)][: len(first)]  # none where there are no rows
     cols = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (c.astype(t)[order] for c, t in zip(columns, kinds.values(), strict=True))]
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *cols], ["bucket", *kinds])
 

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tablemill.llm import suffix_array
+from tablemill.llm import shared_windows, suffix_array
 
 
 def test_long_run_of_one_byte(spark):
@@ -20,3 +20,8 @@ def test_long_run_of_one_byte(spark):
 def test_too_many_ends_are_refused():
     with pytest.raises(ValueError, match="16 bits"):
         suffix_array.enhanced(256 + np.arange(70_000), 10)
+
+
+def test_nothing_to_pack():
+    none = [np.zeros(0, np.int64)] * 4
+    assert shared_windows._by_k(none, shared_windows.SPAN, 4).num_rows == 0
