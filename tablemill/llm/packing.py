@@ -2,16 +2,22 @@
 
 Which pieces share a sequence depends on their lengths only, and lengths are at most the capacity. So the driver plans
 on a histogram of `capacity` counts, whatever the corpus's size: for the largest length that is left it enumerates the
-undominated fillings of the rest of the sequence, prunes by how much waste a better plan than the incumbent may still
-have, and applies the chosen filling as often as the counts allow. The incumbent is best-fit decreasing, and greedy
-completions replace it where they are better. Pieces then find their place by their rank among pieces of their length,
-without meeting in one task: ranks are offsets by partition plus positions within the partition.
+undominated fillings of the rest of the sequence, applies one as often as the counts allow, and prunes by how much waste
+a better plan than the incumbent may still have. The incumbent is best-fit decreasing, and completions replace it where
+they are better. Pieces then find their place by their rank among pieces of their length, without meeting in one task:
+ranks are offsets by partition plus positions within the partition.
+
+The search has limits, which never cost a piece its place: LOOKED candidates for one largest piece, WIDTH branches, NODES
+applied fillings in all. Where LOOKED ends the enumeration, a subset-sum table gives a filling of least waste.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
+import random
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,74 +29,84 @@ from tablemill.llm import word_tokens
 from tablemill.llm.common import cut, text_or_empty, wider
 
 CAPACITY = 2048
-#: Fillings looked at for one largest length, and fillings applied in all while searching below the incumbent.
-WIDTH, NODES = 4, 20_000
+LOOKED, WIDTH, NODES = 200, 8, 4_000
 
 Pattern = tuple[int, ...]
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Best-fit decreasing on a histogram: (lengths in a sequence, number of such sequences)."""
+    """Best-fit decreasing on a histogram, piece by piece in effect: (lengths in a sequence, number of such sequences).
+
+    The fullest sequence with room for a piece stays the fullest one with room for the next piece of that length, so
+    it takes as many of them as fit before another does.
+    """
     open_: dict[Pattern, int] = {}
     room: list[tuple[int, Pattern]] = []  # sorted by free space
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
             at = bisect.bisect_left(room, (length, ()))
-            if at < len(room):
-                free, pattern = room[at]
-                n = min(left, open_[pattern])
+            free, pattern = room[at] if at < len(room) else (capacity, ())
+            each = min(left, free // length)
+            n = min(left // each, open_[pattern]) if pattern else left // each
+            if pattern:
                 open_[pattern] -= n
                 if not open_[pattern]:
                     del open_[pattern], room[at]
-            else:
-                pattern, n = (), left
-            left -= n
-            grown = (*pattern, length)
+            left -= n * each
+            grown = (*pattern, *[length] * each)
             if grown not in open_:
-                bisect.insort(room, (capacity - sum(grown), grown))
+                bisect.insort(room, (free - length * each, grown))
             open_[grown] = open_.get(grown, 0) + n
     return list(open_.items())
 
 
-def fillings(lengths: list[int], counts: dict[int, int], space: int, width: int = WIDTH) -> list[Pattern]:
-    """Undominated ways to fill `space`, least waste first; lengths come ascending.
-
-    A filling is dominated if another holds the same or larger pieces in its place. So the first piece runs down from
-    the largest that fits, each further one from the largest that fits what is left, and a filling that leaves room for
-    any piece isn't one. Stops once `width` fillings without waste are found.
+def fullest(lengths: list[int], counts: dict[int, int], space: int) -> Pattern:
+    """A filling of `space` with the least waste there is, from lengths in the order of preference."""
+    reach, before, goal = 1, [], 1 << space
+    for length in lengths:
+        before.append(reach)  # bit s: sum s can be made of the lengths before
+        k, part = min(counts[length], space // length), 1
+        while k:
+            part = min(part, k)
+            reach |= (reach << (length * part)) & (2 * goal - 1)
+            k -= part
+            part *= 2
+        if reach & goal:
+            break
+    left, out = reach.bit_length() - 1, []
+    for length, sums in zip(lengths[len(before) - 1 :: -1], reversed(before), strict=True):
+        while not sums >> left & 1:
+            out.append(length)
+            left -= length
+    return tuple(sorted(out, reverse=True))
+
+
+def fillings(lengths: list[int], counts: dict[int, int], space: int, prefer: list[int] | None = None) -> list[Pattern]:
+    """Undominated ways to fill `space`, least waste first; lengths come descending and fit.
+
+    A filling is dominated if another holds the same or larger pieces in its place; one that leaves room for a piece
+    that is left isn't put out. `prefer` orders the lengths for the filling that the subset-sum table adds.
     """
+    if not lengths:
+        return [()]
     found: dict[Pattern, int] = {}
-
-    def grow(taken: list[int], free: int, most: int, budget: list[int]) -> None:
-        at = bisect.bisect_right(lengths, min(free, most))
-        tried = 0
-        while at and tried < 24 and budget[0]:
-            at -= 1
-            piece = lengths[at]
-            if counts[piece] <= taken.count(piece):
-                continue
-            tried += 1
-            budget[0] -= 1
-            rest = free - piece
-            exact = bisect.bisect_left(lengths, rest)
-            if rest == 0:
-                found[(*taken, piece)] = 0
-            elif exact < len(lengths) and lengths[exact] == rest and rest <= piece and counts[rest] > [*taken, piece].count(rest):
-                found[(*taken, piece, rest)] = 0
-            elif rest < lengths[0]:
-                found.setdefault((*taken, piece), rest)
-            elif len(taken) < 4:
-                grow([*taken, piece], rest, piece, budget)
-            if sum(1 for w in found.values() if not w) >= width:
-                return
-
-    at = bisect.bisect_left(lengths, space)
-    if at < len(lengths) and lengths[at] == space and counts[space]:
-        return [(space,)]
-    if lengths and space >= lengths[0]:
-        grow([], space, space, [400])
-    return sorted(found, key=lambda f: (found[f], len(f), [-x for x in f]))[:width] or [()]
+    looked = 0
+    stack: list[tuple[Pattern, int, int]] = [((), space, 0)]
+    while stack and looked < LOOKED:
+        taken, free, at = stack.pop()
+        looked += 1
+        while at < len(lengths) and (lengths[at] > free or counts[lengths[at]] <= taken.count(lengths[at])):
+            at += 1
+        if at == len(lengths):
+            if not any(n <= free and counts[n] > taken.count(n) for n in reversed(lengths)):
+                found[taken] = free
+            continue
+        stack += [(taken, free, at + 1), ((*taken, lengths[at]), free - lengths[at], at)]
+    if stack or prefer:
+        best = fullest(prefer or lengths, counts, space)
+        found[best] = -1 if prefer else space - sum(best)
+    return sorted(found, key=lambda f: (found[f], len(f), [-x for x in f]))[:WIDTH]
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[Pattern, int]]:
@@ -99,24 +115,30 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
     bound = -(-total // capacity)
     best = best_fit(counts, capacity)
     most = sum(n for _, n in best)
-    spent = 0
-    # Depth first; entry: counts left, plan so far (linked), sequences and waste so far.
-    stack: list[tuple[dict[int, int], tuple | None, int, int]] = [(dict(counts), None, 0, 0)]
-    while stack and most > bound and spent < nodes:
-        left, plan, used, waste = stack.pop()
+    spent = dives = 0
+    rng = random.Random(1)
+    # Fewest departures from the first choice come first; then: number, counts left, plan so far (linked), sequences, waste.
+    todo: list[tuple[int, int, dict[int, int], tuple | None, int, int]] = [(k, k, dict(counts), None, 0, 0) for k in range(4)]
+    while todo and most > bound and spent < nodes:
+        off, _, left, plan, used, waste = heapq.heappop(todo)
+        dives += 1
+        # The first dive takes large pieces before small ones; later ones shuffle that order a little.
+        shift = {n: -n * rng.random() ** rng.choice((0.1, 0.3, 1.0)) for n in left} if dives > 1 else None
+        order = sorted(left, reverse=True)
         while left:
             if waste > (most - 1) * capacity - total:  # no plan below this one beats the incumbent
                 break
             spent += 1
-            largest = max(left)
-            rest = left.copy()
-            rest[largest] -= 1
-            lengths = sorted(k for k, n in rest.items() if n)
-            choices = fillings(lengths, rest, capacity - largest)
+            largest = order[0]
+            left[largest] -= 1
+            lengths = [n for n in order[bisect.bisect_left(order, largest - capacity, key=lambda n: -n) :] if left[n]]
+            choices = fillings(lengths, left, capacity - largest, sorted(lengths, key=shift.get) if shift and lengths else None)
+            left[largest] += 1
             for other in choices[:0:-1]:
-                if len(stack) < 64:
-                    stack.append(_apply(left, plan, used, waste, (largest, *other), capacity))
+                if len(todo) < 256:
+                    heapq.heappush(todo, (off + 1, spent * WIDTH + len(todo), *_apply(left, plan, used, waste, (largest, *other), capacity)))
             left, plan, used, waste = _apply(left, plan, used, waste, (largest, *choices[0]), capacity)
+            order = [n for n in order if n in left]
         if not left and used < most:
             most, best = used, []
             while plan:
@@ -126,10 +148,11 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
 
 
 def _apply(left: dict[int, int], plan: tuple | None, used: int, waste: int, pattern: Pattern, capacity: int) -> tuple:
-    times = min(left[k] // pattern.count(k) for k in set(pattern))
+    each = Counter(pattern)
+    times = min(left[k] // n for k, n in each.items())
     rest = left.copy()
-    for k in set(pattern):
-        rest[k] -= times * pattern.count(k)
+    for k, n in each.items():
+        rest[k] -= times * n
         if not rest[k]:
             del rest[k]
     return rest, ((pattern, times), plan), used + times, waste + times * (capacity - sum(pattern))
