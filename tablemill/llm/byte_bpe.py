@@ -3,8 +3,12 @@
 Texts are cut by the pattern that comes with the ranks; each distinct cut word of a batch is encoded once. In the
 recursive query a row is a token at its position in a word; a step joins neighbours with the merge table, picks each
 word's leftmost pair of minimum rank, contracts it, and goes on with the words that changed, until none does. Decoding
-joins ids with their bytes and aggregates them in the order of positions. Words over LONG_BYTES bytes, which would
-take a step for each merge over many rows, are merged one by one with a heap, to the same result.
+joins ids with their bytes and aggregates them in the order of positions.
+
+A query keeps the rows of all its steps, some n * n / 2 for a word of n bytes. So words are cut where two bytes meet
+that no token holds side by side, which no merge can cross, and a query gets as many of these pieces as make
+QUERY_ROWS. Pieces over LONG_BYTES, runs without any such place, would be a step for each merge over all their rows:
+a heap merges them, to the same result (README has the figures).
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ from pyspark.sql import DataFrame
 
 from tablemill.llm.common import wider
 
-LONG_BYTES = 96
+LONG_BYTES = 2048
+#: Rows of all steps of one recursive query.
+QUERY_ROWS = 3_000_000
 #: Distinct words that a worker keeps encoded.
 CACHE_WORDS = 500_000
 
@@ -65,6 +71,10 @@ class ByteBPE:
         self._table("merges", {"a": a, "b": b, "merged": pa.array(c, pa.int64())})
         self._table("bytes", {"token": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]})
         self.single = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
+        self.beside = np.zeros((256, 256), bool)  # bytes that some token holds side by side
+        for t in self.ranks:
+            for pair in zip(t, t[1:], strict=False):
+                self.beside[pair] = True
 
     def _table(self, name: str, columns: dict) -> None:
         new = pa.table(columns)  # noqa: F841  DuckDB finds it by name
@@ -72,21 +82,44 @@ class ByteBPE:
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word; words are cut already."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        short = [k for k, w in enumerate(words) if len(w) <= LONG_BYTES]
-        for k, w in enumerate(words):
-            if len(w) > LONG_BYTES:
-                out[k] = np.array(self._merge_long(w), np.int64)
-        if short:
-            size = np.array([len(words[k]) for k in short])
-            word = np.repeat(np.arange(len(short)), size)
-            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            self._table("start", {"word": word, "pos": pos, "token": self.single[np.frombuffer(b"".join(words[k] for k in short), np.uint8)]})
-            got = self.db.execute(_ENCODE).fetchnumpy()
-            ends = np.searchsorted(got["word"], np.arange(len(short) + 1))
-            for i, k in enumerate(short):
-                out[k] = got["token"][ends[i] : ends[i + 1]]
-        return out
+        size = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        if not len(raw):
+            return [np.zeros(0, np.int64)] * len(words)
+        word_start = np.cumsum(size) - size
+        cut = np.r_[True, ~self.beside[raw[:-1], raw[1:]]]
+        cut[word_start[size > 0]] = True
+        start = np.flatnonzero(cut)
+        length = np.diff(np.r_[start, len(raw)])
+        rows = np.where(length > LONG_BYTES, 0, length * (length + 3) // 2)
+        query = np.cumsum(rows) // QUERY_ROWS
+        parts = []  # (piece of each id, id)
+        for first, end in zip(np.flatnonzero(np.r_[True, query[1:] != query[:-1]]).tolist(), [*(np.flatnonzero(query[1:] != query[:-1]) + 1).tolist(), len(start)], strict=True):
+            parts.append(self._query(raw, start, length, first, end))
+        for k in np.flatnonzero(length > LONG_BYTES).tolist():
+            ids = np.array(self._merge_long(raw[start[k] : start[k] + length[k]].tobytes()), np.int64)
+            parts.append((np.full(len(ids), k), ids))
+        piece, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(piece, kind="stable")
+        ends = np.searchsorted(piece[order], np.searchsorted(start, np.r_[word_start, len(raw)]))
+        ids = ids[order]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _query(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, id) of pieces first to end, long ones left out, in order."""
+        short = first + np.flatnonzero(length[first:end] <= LONG_BYTES)
+        if not len(short):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        size = length[short]
+        piece = np.repeat(short, size)
+        pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        token = self.single[raw[start[piece] + pos]]
+        many = np.repeat(size > 1, size)  # a byte alone is done
+        if not many.any():
+            return piece, token
+        self._table("start", {"word": piece[many].astype(np.int32), "pos": pos[many].astype(np.int32), "token": token[many].astype(np.int32)})
+        got = self.db.execute(_ENCODE).fetchnumpy()
+        return np.r_[piece[~many], got["word"]], np.r_[token[~many], got["token"]]
 
     def decode_words(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each run of ids."""
@@ -134,10 +167,8 @@ class ByteBPE:
             cache.clear()
             cache |= kept
         new = [w for w in need if w not in cache]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            ids = self.encode_words([w.encode() for w in part])
-            cache |= zip(part, zip((x.astype("<u4").tobytes() for x in ids), self.decode_words(ids), strict=True), strict=True)
+        ids = self.encode_words([w.encode() for w in new])
+        cache |= zip(new, zip((x.astype("<u4").tobytes() for x in ids), self.decode_words(ids), strict=True), strict=True)
         for c in cut:
             both = [cache[w] for w in c]
             yield b"".join([x for x, _ in both]), b"".join([y for _, y in both])
