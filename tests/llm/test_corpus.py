@@ -56,8 +56,8 @@ def empty(spark):
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_dedup(spark, rows, keep, monkeypatch):
-    for share in (exact_dedup.HOT_SHARE, 2.0):  # with and without salted texts
-        monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
+    for part in (exact_dedup.HOT_PART, 1e9):  # with and without salted texts
+        monkeypatch.setattr(exact_dedup, "HOT_PART", part)
         hot_rows = rows + [(2000 + i, "hot") for i in range(300)]
         groups = defaultdict(list)
         for i, t in hot_rows:
@@ -106,6 +106,14 @@ def test_quality(spark, rows):
 def test_quality_orders_rules_by_rejections_per_cost(spark):
     order = quality.plan(Q.documents(spark, "/root/testdata/sf0.01"))
     assert sorted(order) == sorted(quality.RULES)
+    names = list(quality.RULES)
+    dear, cheap = [4.0, 1.0, 1.0, 1.0, 1.0, 1.0], [0.1] * 6
+    bit = lambda *ks: sum(1 << k for k in ks)
+    # Rule 0 rejects most but is dear; rule 1 rejects 30 that rule 2 rejects too; rule 3 rejects 10 others.
+    kinds = [(bit(0), 44, [44 * x for x in dear]), (bit(1, 2), 30, [30 * x for x in dear]), (bit(2), 5, [5 * x for x in dear]), (bit(3), 10, [10 * x for x in dear]), (0, 100, [100 * x for x in dear])]
+    assert quality.order_rules(kinds)[:4] == [names[k] for k in (2, 0, 3, 1)]
+    assert quality.order_rules([]) == names and quality.order_rules([(0, 9, cheap)]) == names
+    assert quality.measure(["too short", "x " * 40]) == []
 
 
 def test_quality_keeps_clean_documents():
