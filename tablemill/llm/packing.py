@@ -19,6 +19,7 @@ import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +117,9 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
     best = best_fit(counts, capacity)
     most = sum(n for _, n in best)
     spent = dives = 0
-    rng = random.Random(1)
+    rng, number = random.Random(1), count()
     # Fewest departures from the first choice come first; then: number, counts left, plan so far (linked), sequences, waste.
-    todo: list[tuple[int, int, dict[int, int], tuple | None, int, int]] = [(k, k, dict(counts), None, 0, 0) for k in range(4)]
+    todo: list[tuple[int, int, dict[int, int], tuple | None, int, int]] = [(k, next(number), dict(counts), None, 0, 0) for k in range(4)]
     while todo and most > bound and spent < nodes:
         off, _, left, plan, used, waste = heapq.heappop(todo)
         dives += 1
@@ -136,7 +137,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
             left[largest] += 1
             for other in choices[:0:-1]:
                 if len(todo) < 256:
-                    heapq.heappush(todo, (off + 1, spent * WIDTH + len(todo), *_apply(left, plan, used, waste, (largest, *other), capacity)))
+                    heapq.heappush(todo, (off + 1, next(number), *_apply(left, plan, used, waste, (largest, *other), capacity)))
             left, plan, used, waste = _apply(left, plan, used, waste, (largest, *choices[0]), capacity)
             order = [n for n in order if n in left]
         if not left and used < most:
