@@ -27,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges(a, b): long ids; component is the least node reachable.
+    """(node, component) for every node of edges(a, b): longs, or structs of one type; component is the least node reachable.
 
     Nodes without a link don't appear; self-links, repeated links and links with a null end are ignored.
     Each round is cut with a checkpoint; the driver sees one number a round.

@@ -1,12 +1,14 @@
 """SimHash near-dedup with pivot distance tables.
 
-Two fingerprints that differ in at most 4 of 64 bits agree on at least two of six blocks, so fingerprints meet in units
-that share a pair of blocks (15 keys each). Inside a unit, a table holds each fingerprint's Hamming distances to many
+Two fingerprints that differ in at most 4 of 64 bits agree on all but four of any blocks of bits, so fingerprints meet in
+units that share those (of six blocks two: 15 keys each). There are as many blocks as keep units small at the number of
+fingerprints: units of six blocks share 20 bits, of eight 32. Inside a unit, a table holds each fingerprint's Hamming distances to many
 fixed reference fingerprints. By the triangle inequality a pair whose distances to some reference differ by more than 4
 can't link: rows are sorted by the first coordinate, so that pairs outside its band aren't looked at; the other
 coordinates discard most of the rest, and the survivors' true distance is verified. Only links that join two parts of
 a unit leave it, never all pairs. Equal fingerprints are one node from the start. A unit of more than UNIT_ROWS rows is
-cut into pieces that meet pairwise in units of their own, which keeps every link and bounds each unit.
+cut into pieces that meet pairwise in units of their own, which keeps every link and bounds each unit. Links name
+fingerprints by their least document, so that a component's least node is its answer and its rows need not meet again.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import cut, wider
+from tablemill.llm.common import cut, unused, wider
 from tablemill.llm.graph import components
 
 BITS = 4
-WIDTHS = (11, 11, 11, 11, 10, 10)
+#: Fingerprints that chance puts into one unit, as a power of two, beyond which there are more blocks.
+CROWD = 4
 UNIT_ROWS = 4096
 N_PIVOTS = 24
 #: Reference fingerprints: a fixed pseudo-random sequence.
@@ -32,12 +35,21 @@ PIVOTS = np.random.default_rng(2024).integers(0, 2**64, N_PIVOTS, dtype=np.uint6
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _masks() -> list[int]:
+def blocks_for(n: int) -> int:
+    """Blocks of bits so that n fingerprints meet in units of at most 2 ** CROWD by chance."""
+    k = BITS + 2
+    while (64 // k) * (k - BITS) < n.bit_length() - CROWD and k < 10:
+        k += 1
+    return k
+
+
+def _masks(n_blocks: int = BITS + 2) -> list[int]:
     blocks, at = [], 0
-    for w in WIDTHS:
+    for k in range(n_blocks):
+        w = 64 // n_blocks + (k < 64 % n_blocks)
         blocks.append(((1 << w) - 1) << at)
         at += w
-    pairs = [a | b for a, b in combinations(blocks, len(WIDTHS) - BITS)]
+    pairs = [sum(chosen) for chosen in combinations(blocks, n_blocks - BITS)]
     return [m - (1 << 64) if m >> 63 else m for m in pairs]
 
 
@@ -114,16 +126,20 @@ def links_in_units(unit: np.ndarray, fp: np.ndarray, part: np.ndarray, whole: np
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
+def _nodes(t: pa.Table, at: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([t.column(c).take(pa.array(at)).combine_chunks() for c in ("none", "least", "fp")], ["none", "least", "fp"])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows (unit, fp, part, whole) that come sorted by unit; the last unit waits for the next batch."""
+    """Links of rows (unit, none, least, fp, part, whole) that come sorted by unit; the last unit waits for the next batch."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        unit, fp, part, whole = (t.column(k).to_numpy() for k in range(4))
+        unit, fp, part, whole = (t.column(c).to_numpy() for c in ("unit", "fp", "part", "whole"))
         again = np.r_[False, unit[1:] == unit[:-1]]
         again[:-1] |= again[1:]
-        unit, fp, part, whole = unit[again], fp[again].view(np.uint64), part[again], whole[again]
-        i, j = links_in_units(unit, fp, part, whole)
-        return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], ["a", "b"])
+        rows = np.flatnonzero(again)
+        i, j = links_in_units(unit[rows], fp[rows].view(np.uint64), part[rows], whole[rows])
+        return pa.RecordBatch.from_arrays([_nodes(t, rows[i]), _nodes(t, rows[j])], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -140,43 +156,50 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(pa.Table.from_batches(held))
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """(a, b): links that connect every two of the distinct fingerprints fps(fp) at most BITS apart."""
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(_masks())])
-    keyed = fps.select("fp", F.explode(keys).alias("unit"))
+def fingerprint_links(fps: DataFrame, n_blocks: int = BITS + 2) -> DataFrame:
+    """(a, b): links that connect every two of the distinct fingerprints fps(fp, doc_id) at most BITS apart.
+
+    a and b are structs (none, least, fp) that sort by doc_id, null ones (none) last.
+    """
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(_masks(n_blocks))])
+    keyed = fps.select("fp", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("least"), F.explode(keys).alias("unit"))
     large = keyed.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > UNIT_ROWS).select("unit", F.ceil(F.col("n") / UNIT_ROWS).cast("int").alias("pieces"))
     joined = keyed.join(large, "unit", "left")
     part = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
     met = joined.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1)))
     unit = F.when(F.col("pieces").isNull(), F.col("unit")).otherwise(F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other")))
     # part == other: within a piece; the piece's rows also meet each other piece, where only pairs of different parts count.
-    units = met.select(unit.alias("unit"), "fp", "part", (F.col("part") == F.col("other")).alias("whole"))
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_scan, "a long, b long")
+    units = met.select(unit.alias("unit"), "none", "least", "fp", "part", (F.col("part") == F.col("other")).alias("whole"))
+    node = "struct<none: boolean, least: long, fp: long>"
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_scan, f"a {node}, b {node}")
 
 
 def components_of(fps: DataFrame) -> DataFrame:
     """(fp, component_id) of fps(fp, doc_id), any number of rows a fingerprint: the least doc_id reachable over links.
 
-    Null doc_ids are ignored in the minimum; a component of null doc_ids only has a null component_id.
+    Null doc_ids are ignored in the minimum; a component of null doc_ids only has a null component_id. An empty table
+    gives an empty one.
     """
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    linked = components(fingerprint_links(nodes.select("fp")))
-    placed = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("_c"))
-    least = placed.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "_c").select("fp", "component_id")
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("doc_id")))
+    linked = components(fingerprint_links(nodes, blocks_for(nodes.count())))
+    placed = nodes.join(linked, nodes["fp"] == linked["node"]["fp"], "left")
+    least = F.when(~F.col("component")["none"], F.col("component")["least"])
+    return placed.select("fp", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(least).alias("component_id"))
 
 
 def mark_near_copies(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """docs with fingerprint (16 hex digits) and component_id, one row for each row of docs.
 
     A null text has no words and fingerprint zero, like an empty one; such documents link with each other. Repeated
-    rows get the same component. Columns of docs with these two names are replaced; an empty table gives an empty one.
+    rows get the same component. Columns of docs with these two names are replaced, all others come back as they were;
+    an empty table gives an empty one.
     """
     base = docs.drop("fingerprint", "component_id")
-    marked = with_fingerprints(base, "_fp", shingle)
-    placed = components_of(cut(marked.select(F.col("_fp").alias("fp"), "doc_id")))
-    joined = marked.join(placed, marked["_fp"] == placed["fp"], "left")
-    return joined.select(*base.columns, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    fp, key = unused("_fp", base.columns), unused("_key", base.columns)
+    marked = with_fingerprints(base, fp, shingle)
+    placed = components_of(cut(marked.select(F.col(fp).alias("fp"), "doc_id"))).select(F.col("fp").alias(key), F.col("component_id").alias("component_id"))
+    joined = marked.join(placed, F.col(fp) == F.col(key), "left")
+    return joined.select(*base.columns, F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 4) -> DataFrame:
