@@ -67,8 +67,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = toxicity.score_toxicity(docs, model, spans=False)
-    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
