@@ -43,16 +43,16 @@ def mark_copies(docs: DataFrame, normalised: Column | None = None, keep: str = "
     """
     names = ("keep_id", "group_size", "kept", "text_sha256")
     base = docs.drop(*names)
-    n, h, p, s, k, c = (unused(f"__ed_{x}", base.columns) for x in "nhpskc")
+    n, h, p, s, k, c, hh, salts, wh, ws = (unused(f"__ed_{x}", base.columns) for x in ("n", "h", "p", "s", "k", "c", "hh", "salts", "wh", "ws"))
     norm = text_or_empty() if normalised is None else normalised
     keyed = base.withColumn(n, norm).withColumn(h, F.xxhash64(n))
     hot = _hot(keyed, h, n)
     dealt = keyed.withColumn(p, F.substring(n, 1, 24))
     key = [p, h]
     if hot is not None:  # a constant salt would be folded away, and the window below would shuffle again
-        dealt = dealt.join(F.broadcast(hot), F.col(h) == F.col("hh"), "left")
-        salt = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())), F.coalesce("salts", F.lit(1)))
-        dealt, key = dealt.withColumn(s, salt.cast("int")).drop("salts"), [*key, s]
+        dealt = dealt.join(F.broadcast(hot.toDF(hh, salts)), F.col(h) == F.col(hh), "left")
+        salt = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())), F.coalesce(salts, F.lit(1)))
+        dealt, key = dealt.withColumn(s, salt.cast("int")).drop(salts), [*key, s]
     dealt = dealt.repartitionByRange(partitions(docs.sparkSession), *key)
     first = F.col("doc_id").asc_nulls_first() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
     near = Window.partitionBy(*key, n).orderBy(first)
@@ -60,10 +60,10 @@ def mark_copies(docs: DataFrame, normalised: Column | None = None, keep: str = "
     out = out.withColumn("text_sha256", F.sha2(F.col(n).cast("binary"), 256))
     if hot is not None:
         pick = (F.min("doc_id"), F.count("doc_id") < F.count("*")) if keep == "smallest" else (F.max("doc_id"), F.lit(False))
-        whole = keyed.join(F.broadcast(hot), F.col(h) == F.col("hh")).groupBy("hh", n).agg(F.when(~pick[1], pick[0]).alias(k), F.count("*").alias(c))
+        whole = keyed.join(F.broadcast(hot.toDF(hh, salts)), F.col(h) == F.col(hh)).groupBy(hh, n).agg(F.when(~pick[1], pick[0]).alias(k), F.count("*").alias(c))
         # As many rows as hot texts (equal hashes of different texts aside), told by digests: bounded in rows and bytes.
-        whole = whole.select(F.col("hh").alias("wh"), F.sha2(F.col(n).cast("binary"), 256).alias("ws"), k, c)
-        out = out.join(F.broadcast(whole), (F.col("hh") == F.col("wh")) & (F.col("text_sha256") == F.col("ws")), "left")
+        whole = whole.select(F.col(hh).alias(wh), F.sha2(F.col(n).cast("binary"), 256).alias(ws), k, c)
+        out = out.join(F.broadcast(whole), (F.col(hh) == F.col(wh)) & (F.col("text_sha256") == F.col(ws)), "left")
         found = F.col(c).isNotNull()
         out = out.withColumn("keep_id", F.when(found, F.col(k)).otherwise(F.col("keep_id"))).withColumn("group_size", F.when(found, F.col(c)).otherwise(F.col("group_size")))
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))

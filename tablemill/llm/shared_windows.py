@@ -481,10 +481,12 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, str], finish: Callable[[str | None, list[tuple[int, int]]], tuple], many: int) -> DataFrame:
     """docs with the columns `made`, which finish(text, spans) gives for each row; spans are in symbols.
 
-    Rows of one doc_id are one document as far as "smaller" goes. A row with a null doc_id loses nothing and takes
+    Columns of docs come back as they were, whatever their names, but for those that `made` replaces; an empty table gives
+    an empty one. Rows of one doc_id are one document as far as "smaller" goes. A row with a null doc_id loses nothing and takes
     nothing from others; null texts have no symbols.
     """
     base = docs.drop(*made)
+    own, base = base.columns, base.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(base.columns)))
     buckets = partitions(docs.sparkSession)
     least = 2 * kind.window - 1 if kind.words else kind.window // 4
     usable = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
@@ -531,4 +533,4 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
                 rows.append(finish(text, cut))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], [*keep, *made])
 
-    return out.mapInArrow(run, wider(base, **made))
+    return out.mapInArrow(run, wider(base, **made)).toDF(*own, *made)

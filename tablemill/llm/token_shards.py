@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm import word_tokens
-from tablemill.llm.common import partitions, text_or_empty
+from tablemill.llm.common import partitions, text_or_empty, unused
 
 PER_SHARD, RECORD, ROUNDS = 4096, 2048, 6
 #: Documents come in a random order here, which a larger cache of pieces makes up for.
@@ -57,25 +57,33 @@ def slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def with_slots(docs: DataFrame, key: int) -> tuple[DataFrame, int]:
-    """docs with a long column slot, and the number of rows. The driver gets one count for each partition of the scan."""
-    placed = docs.withColumn("__ts_at", F.monotonically_increasing_id())
-    counts = placed.groupBy(F.shiftright("__ts_at", 33).alias("part")).count().collect()
+    """docs with a long column slot, in place of any of that name, and the number of rows.
+
+    docs must be a stable scan: counted and numbered apart, it has to give the same rows in the same order both times
+    (files or a checkpoint do; another partitioning raises an error, another order of rows alone can't be noticed).
+    The driver gets one count for each partition of the scan. Nulls and repeated rows each get a slot; an empty table
+    gives an empty one.
+    """
+    docs = docs.drop("slot")
+    at = unused("__ts_at", docs.columns)
+    placed = docs.withColumn(at, F.monotonically_increasing_id())
+    counts = placed.groupBy(F.shiftright(at, 33).alias("part")).count().collect()
     size = np.zeros(max([r["part"] for r in counts], default=0) + 1, np.int64)
     for r in counts:
         size[r["part"]] = r["count"]
     before, total = np.cumsum(size) - size, int(size.sum())
 
     @F.pandas_udf("long")
-    def slot(at):
-        at = at.to_numpy()
-        part, nth = at >> 33, at & ((1 << 33) - 1)
+    def slot(ids):
+        ids = ids.to_numpy()
+        part, nth = ids >> 33, ids & ((1 << 33) - 1)
         if (nth >= size[part]).any():
             raise ValueError("the scan's partitions changed between counting and numbering")
         import pandas as pd
 
         return pd.Series(slots(before[part] + nth, total, key))
 
-    return placed.withColumn("slot", slot("__ts_at")).drop("__ts_at"), total
+    return placed.withColumn("slot", slot(at)).drop(at), total
 
 
 def _files(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -88,7 +96,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 1, per_s
     """Write shards of docs(doc_id, text) under path; returns (shard, n_sequences, n_ids, crc32) of what was written.
 
     Null texts are empty (the end id alone); null doc_ids are marked in the index; repeated rows are sequences of their
-    own. An empty table writes nothing. Token ids must be below 65,536.
+    own. An empty table writes nothing. A token id of 65,536 or more is an error. docs must be a stable scan (with_slots).
     """
     numbered, _ = with_slots(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), key)
     ranged = numbered.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(partitions(docs.sparkSession), "shard").sortWithinPartitions("slot")
@@ -98,6 +106,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 1, per_s
         fs, top = _files(path)
         fs.create_dir(top, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
+        if not 0 <= end_id < 2**16:
+            raise ValueError(f"end id {end_id} doesn't fit into 16 bits")
         end = np.array([end_id], "<u2").tobytes()
         shard, out, entries, at, crc = -1, None, [], 0, 0
 
@@ -111,12 +121,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 1, per_s
             with fs.open_output_stream(f"{name}.idx.{attempt}") as f:
                 f.write(np.array(entries, ENTRY).tobytes())
             for kind in ("bin", "idx"):
+                if fs.get_file_info(f"{name}.{kind}").type != pa.fs.FileType.NotFound:
+                    fs.delete_file(f"{name}.{kind}")  # a repeated task's equal bytes; not every file system replaces
                 fs.move(f"{name}.{kind}.{attempt}", f"{name}.{kind}")
             return pa.RecordBatch.from_pylist([{"shard": shard, "n_sequences": len(entries), "n_ids": at, "crc32": crc}])
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1500):
-                b = whole.slice(k, 1500)
+        def shards() -> Iterator[pa.RecordBatch]:
+            nonlocal shard, out, entries, at, crc
+            for b in (whole.slice(k, 1500) for whole in batches for k in range(0, whole.num_rows, 1500)):
                 coded = model.batch(b.column("text").to_pylist())
                 for own, slot, doc, ids in zip(b.column("shard").to_pylist(), b.column("slot").to_pylist(), b.column("doc_id").to_pylist(), coded, strict=True):
                     if own != shard:
@@ -124,13 +136,26 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 1, per_s
                             yield close()
                         shard, entries, at, crc = own, [], 0, 0
                         out = fs.open_output_stream(f"{top}/{shard:08d}.bin.{attempt}")
-                    narrow = np.frombuffer(ids, "<u4").astype("<u2").tobytes() + end
+                    wide = np.frombuffer(ids, "<u4")
+                    if len(wide) and wide.max() >= 2**16:
+                        raise ValueError(f"token id {wide.max()} doesn't fit into 16 bits")
+                    narrow = wide.astype("<u2").tobytes() + end
                     out.write(narrow)
                     crc = zlib.crc32(narrow, crc)
                     entries.append((slot, doc or 0, doc is None, at, len(narrow) // 2, zlib.crc32(narrow)))
                     at += len(narrow) // 2
-        if out:
-            yield close()
+            if out:
+                yield close()
+
+        try:
+            yield from shards()
+        except BaseException:  # a failed or cancelled attempt leaves nothing behind
+            if out and not out.closed:
+                out.close()
+            for kind in ("bin", "idx"):
+                if fs.get_file_info(left := f"{top}/{shard:08d}.{kind}.{attempt}").type != pa.fs.FileType.NotFound:
+                    fs.delete_file(left)
+            raise
 
     return ranged.mapInArrow(run, "shard long, n_sequences long, n_ids long, crc32 long")
 
@@ -151,7 +176,10 @@ def read_shard(path: str, shard: int, from_slot: int | None = None, record: int
 
 
 def read_index(spark: SparkSession, written: DataFrame, path: str) -> DataFrame:
-    """(doc_id, slot, shard, start, n_ids, ids_crc32) of all sequences, from the shards' files; fails on bytes that differ."""
+    """(doc_id, slot, shard, start, n_ids, ids_crc32) of all sequences, from the shards' files.
+
+    written: what write_shards returned, a row a shard; an empty table gives an empty one, a repeated row its shard twice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -14,6 +14,8 @@ import xxhash
 from tablemill.llm import byte_bpe, chat, common, exact_dedup, graph, packing, quality, simhash, substring_dedup, suffix_array, token_shards, toxicity, word_tokens
 from tablemill.llm import queries as Q
 
+from test_near_copies import kept_of
+
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, kept string, __sw_k long, fingerprint string, score string, keep_id string"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -229,6 +231,16 @@ def test_token_shards(spark, rows, tmp_path):
     assert [x[0] for x in whole] == list(range(16, 32)) and [x[0] for x in resumed] == list(range(20, 32))
     assert all((a[3] == b[3]).all() for a, b in zip(whole[4:], resumed, strict=True))
     assert token_shards.write_shards(empty(spark), str(tmp_path / "none"), tokenizer()).count() == 0
+    again = common.cut(token_shards.write_shards(docs, path, tokenizer(), per_shard=16, record=64))  # over existing files
+    assert Counter(map(tuple, token_shards.read_index(spark, again, path).collect())) == Counter(map(tuple, got))
+    assert not [f for f in (tmp_path / "shards").iterdir() if f.suffix not in (".bin", ".idx")]
+
+
+def test_wide_ids_are_refused(spark, tmp_path, monkeypatch):
+    docs = frame(spark, [(1, "a b")]).repartition(1)
+    with pytest.raises(Exception, match="16 bits"):
+        token_shards.write_shards(docs, str(tmp_path / "wide"), tokenizer(), end_id=70_000).count()
+    assert not list((tmp_path / "wide").glob("*")) if (tmp_path / "wide").exists() else True
 
 
 # --- near copies
@@ -283,10 +295,46 @@ def test_dense_fingerprints(spark, monkeypatch, unit_rows):
     fps = spark.createDataFrame([(f, k) for k, f in enumerate(signed)], "fp long, doc_id long")
     got = {r["fp"]: r["component_id"] for r in simhash.components_of(fps).collect()}
     assert [got[f] for f in signed] == label
-    links = simhash.fingerprint_links(fps.select("fp")).count()
+    links = simhash.fingerprint_links(fps).count()
     assert links < 16 * len(prints)  # joins of parts, not pairs
 
 
+@pytest.mark.parametrize("n_blocks", [6, 7, 8, 10])
+def test_blocks_reach_every_link(spark, n_blocks):
+    rng = random.Random(n_blocks)
+    masks = simhash._masks(n_blocks)
+    for _ in range(300):
+        flips = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(m & flips == 0 for m in (m % 2**64 for m in masks))
+    assert simhash.blocks_for(1000) == 6 and simhash.blocks_for(10**9) == 7 and simhash.blocks_for(10**10) == 8
+    centre = rng.getrandbits(64)
+    prints = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(80)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    fps = spark.createDataFrame([(f, None if k % 7 == 0 else k) for k, f in enumerate(signed)], "fp long, doc_id long")
+    got = graph.components(simhash.fingerprint_links(fps, n_blocks)).collect()
+    label = parts(len(prints), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["component"]["fp"]].add(r["node"]["fp"])
+    want = defaultdict(set)
+    for f, c in zip(signed, label, strict=True):
+        want[c].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_own_columns_come_back(spark):
+    """Columns of the caller with names that the operators use inside."""
+    names = ["fp", "_fp", "_key", "__sw_k", "__sw_th", "__ed_n", "__ed_h", "__ed_p", "__ed_s", "hh", "salts", "wh", "ws", "slot", "least", "node", "TH"]
+    long = " ".join(f"w{k}" for k in range(90))
+    docs = spark.createDataFrame([(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate([long, long, "x " + long, "a b", None, *["hot"] * 60])], ["doc_id", "text", *names])
+    want = sorted(tuple(r) for r in docs.select("doc_id", *names).collect())
+    for marked in (simhash.mark_near_copies(docs), exact_dedup.mark_copies(docs), quality.quality(docs), substring_dedup.remove_substrings(docs), suffix_array.remove_repeats(docs)):
+        assert sorted(tuple(r) for r in marked.select("doc_id", *names).collect()) == want
+    for fewer in (simhash.near_dedup(docs), exact_dedup.exact_dedup(docs)):
+        got = [tuple(r) for r in fewer.select("doc_id", *names).collect()]
+        assert fewer.columns == docs.columns and set(got) < set(want) and len(set(got)) == len(got)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(140)] + [(300, k) for k in range(301, 360)] + [(k, k + 1) for k in range(400, 440)] + [(None, 1), (7, 7)]
@@ -396,14 +444,48 @@ def test_marginals_are_exact():
     model = toxicity.Model(into=0.3, out=-0.4, stay=1.1)
     odds = [np.exp(rng.normal(size=n)) for n in (0, 1, 2, 5, 8)]
     for o, p in zip(odds, toxicity.marginals(odds, model), strict=True):
-        total, hits = 0.0, np.zeros(len(o))
+        total, hits, want, pairs = 0.0, np.zeros(len(o)), np.zeros(3), np.zeros(3)
         for tags in itertools.product((0, 1), repeat=len(o)):
             w = np.prod([o[k] for k, t in enumerate(tags) if t] or [1.0])
             for a, b in zip(tags, tags[1:], strict=False):
                 w *= np.exp({(0, 1): model.into, (1, 0): model.out, (1, 1): model.stay}.get((a, b), 0.0))
             total += w
             hits += w * np.array(tags, float)
+            want += w * np.array([sum(x == y for x in zip(tags, tags[1:], strict=False)) for y in ((0, 1), (1, 0), (1, 1))])
         assert np.allclose(p, hits / total)
+        toxicity.marginals([o], model, pairs)
+        assert np.allclose(pairs, want / total)
+
+
+def test_fit_follows_the_likelihood():
+    """The gradient that the fit takes against differences of the log-likelihood, on a small chain."""
+    rng = np.random.default_rng(3)
+    odds, tags = [np.exp(rng.normal(size=n)) for n in (4, 6)], [rng.integers(0, 2, n) for n in (4, 6)]
+
+    def likelihood(into, out, stay):
+        whole = 0.0
+        for o, y in zip(odds, tags, strict=True):
+            def weight(t):
+                return np.prod([o[k] for k, x in enumerate(t) if x] or [1.0]) * np.exp(sum({(0, 1): into, (1, 0): out, (1, 1): stay}.get(p, 0.0) for p in zip(t, t[1:], strict=False)))
+            whole += np.log(weight(tuple(y))) - np.log(sum(weight(t) for t in itertools.product((0, 1), repeat=len(o))))
+        return whole
+
+    at = np.array([0.2, -0.3, 0.5])
+    expected = np.zeros(3)
+    toxicity.marginals(odds, toxicity.Model(into=at[0], out=at[1], stay=at[2]), expected)
+    seen = np.array([sum(p == q for y in tags for p in zip(y.tolist(), y[1:].tolist(), strict=False)) for q in ((0, 1), (1, 0), (1, 1))])
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-5
+        assert abs((likelihood(*(at + step)) - likelihood(*(at - step))) / 2e-5 - (seen - expected)[k]) < 1e-4
+
+
+def test_empty_and_very_long_texts_score(spark):
+    assert toxicity.train(empty(spark), spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
+    model = toxicity.Model(weights={b"vile": 9.0})
+    long = "calm " * 1_500_000 + "vile"
+    docs = spark.createDataFrame([(1, long), (2, "vile"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert [tuple(x) for x in got[1]["spans"]] == [(len(long) - 4, len(long))] and got[3]["spans"] == []
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -513,12 +595,8 @@ def test_pipeline(spark, tmp_path):
         if name == "exact dedup":
             assert sorted(r["doc_id"] for r in new) == sorted({r["text"]: r["doc_id"] for r in sorted(old, key=lambda r: -r["doc_id"])}.values())
         if name == "simhash near-dedup":
-            prints = [fingerprint(r["text"]) for r in old]
-            label = parts(len(old), [(a, b) for a in range(len(old)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
-            least = {}
-            for r, c in zip(old, label, strict=True):
-                least[c] = min(r["doc_id"], least.get(c, r["doc_id"]))
-            assert sorted(r["doc_id"] for r in new) == sorted(least.values())
+            pairs = [(r["doc_id"], r["text"]) for r in old]
+            assert sorted(r["doc_id"] for r in new) == sorted(pairs[k][0] for k in kept_of(pairs))
         if name == "substring dedup":
             want = {k[0]: k[3] for k in without_shared([(r["doc_id"], r["text"]) for r in old], True)}
             assert {r["doc_id"]: hashlib.sha256(b" ".join(r["text"].encode().split())).hexdigest() for r in new} == want
