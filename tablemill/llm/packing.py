@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.llm import word_tokens
-from tablemill.llm.common import cut, text_or_empty, wider
+from tablemill.llm.common import cut, released, text_or_empty, wider
 
 CAPACITY = 2048
 LOOKED, WIDTH, NODES = 200, 8, 4_000
@@ -215,7 +215,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(released(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -240,7 +240,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             table = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(table[:, 0]), pa.array(table[:, 1])], names)
 
-    return ranked.mapInArrow(run, wider(ranked.select(columns), sequence_id="long", offset="long"))
+    return ranked.mapInArrow(released(run), wider(ranked.select(columns), sequence_id="long", offset="long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, cache_pieces: int = word_tokens.CACHE_PIECES) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import CHUNK_BYTES, partitions, runs, text_or_empty, wider
+from tablemill.llm.common import CHUNK_BYTES, partitions, released, runs, text_or_empty, wider
 
 #: Classes of one anchor beyond which its segments go on as single windows: what a worker's solver can hold at a time.
 MANY_CLASSES = {"bytes": 16_384, "words": 2048}
@@ -68,7 +68,7 @@ _powers: list[np.ndarray] = []
 def _word_hashes(big: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A polynomial hash of each slice of bytes, from prefix sums and the inverse of the base's powers."""
     if not _powers or len(_powers[0]) <= len(big):
-        n = max(len(big) + 1, CHUNK_BYTES * 2)
+        n = max(len(big) + 1, CHUNK_BYTES + CHUNK_BYTES // 4)
         inverse = np.uint64(pow(int(_BASE), -1, 2**64))
         _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (_BASE, inverse)]
     sums = np.r_[np.uint64(0), np.cumsum(_TABLE[big] * _powers[0][: len(big)])]
@@ -287,7 +287,7 @@ def _for_documents(rows: DataFrame, kinds: dict[str, type], names: dict[str, str
             yield pa.RecordBatch.from_arrays([pa.array(k[first]), *made], ["__sw_rk", *(names[c] for c in wanted)])
 
     schema = _schema({names[c]: None for c in wanted}, "__sw_rk long")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema).hint("shuffle_hash")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(run), schema).hint("shuffle_hash")
 
 
 def _segment_rows(kind: Kind, buckets: int):
@@ -490,8 +490,8 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
     buckets = partitions(docs.sparkSession)
     least = 2 * kind.window - 1 if kind.words else kind.window // 4
     usable = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
-    anchors = usable.mapInArrow(_anchor_rows(kind, buckets), _schema(ANCHOR)).repartition("bucket").sortWithinPartitions("bucket")
-    shared = anchors.mapInArrow(_shared_anchors(buckets), _schema(SHARED))
+    anchors = usable.mapInArrow(released(_anchor_rows(kind, buckets)), _schema(ANCHOR)).repartition("bucket").sortWithinPartitions("bucket")
+    shared = anchors.mapInArrow(released(_shared_anchors(buckets)), _schema(SHARED))
 
     th = F.xxhash64(text_or_empty())
     key = F.coalesce(F.col("doc_id").cast("long"), F.col("__sw_th"))
@@ -508,13 +508,13 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
         listed = F.col(column).isNotNull() & F.col("doc_id").isNotNull()
         return dealt.join(lists, on, "left").withColumn("text", F.when(listed, F.col("text")))
 
-    told = joined(_for_documents(shared, SHARED, {"low": "__sw_low"}), "__sw_low").mapInArrow(_segment_rows(kind, buckets), _schema(SEGMENT))
+    told = joined(_for_documents(shared, SHARED, {"low": "__sw_low"}), "__sw_low").mapInArrow(released(_segment_rows(kind, buckets)), _schema(SEGMENT))
     told = told.repartition("bucket").sortWithinPartitions("bucket")
-    copies = told.mapInArrow(_classes(kind.window, False, buckets, many), _schema(SPAN))
-    asked = told.mapInArrow(_classes(kind.window, True, buckets, many), _schema(ASKED))
+    copies = told.mapInArrow(released(_classes(kind.window, False, buckets, many)), _schema(SPAN))
+    asked = told.mapInArrow(released(_classes(kind.window, True, buckets, many)), _schema(ASKED))
     lists = _for_documents(asked, ASKED, {c: f"__sw_{c}s" for c in ASKED})
-    segments = joined(lists, "__sw_ths").mapInArrow(_cut_segments(kind), "g long, g2 long, seg binary, k long, th long, start long, starts binary, done boolean")
-    rest = segments.repartition("g").sortWithinPartitions("g", "g2", "k").mapInArrow(_solved(kind, solver, buckets), _schema(SPAN))
+    segments = joined(lists, "__sw_ths").mapInArrow(released(_cut_segments(kind)), "g long, g2 long, seg binary, k long, th long, start long, starts binary, done boolean")
+    rest = segments.repartition("g").sortWithinPartitions("g", "g2", "k").mapInArrow(released(_solved(kind, solver, buckets)), _schema(SPAN))
     spans = _for_documents(copies.unionByName(rest), SPAN, {c: f"__sw_{c}s" for c in SPAN})
     out = dealt.join(spans, on, "left")
     keep = base.columns
@@ -533,4 +533,4 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
                 rows.append(finish(text, cut))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], [*keep, *made])
 
-    return out.mapInArrow(run, wider(base, **made)).toDF(*own, *made)
+    return out.mapInArrow(released(run), wider(base, **made)).toDF(*own, *made)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import cut, unused, wider
+from tablemill.llm.common import cut, released, unused, wider
 from tablemill.llm.graph import components
 
 BITS = 4
@@ -81,7 +81,7 @@ def with_fingerprints(docs: DataFrame, name: str = "fp", shingle: int = 4) -> Da
             made = pa.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, made], names)
 
-    return base.mapInArrow(run, wider(base, **{name: "long"}))
+    return base.mapInArrow(released(run), wider(base, **{name: "long"}))
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,7 +171,7 @@ def fingerprint_links(fps: DataFrame, n_blocks: int = BITS + 2) -> DataFrame:
     # part == other: within a piece; the piece's rows also meet each other piece, where only pairs of different parts count.
     units = met.select(unit.alias("unit"), "none", "least", "fp", "part", (F.col("part") == F.col("other")).alias("whole"))
     node = "struct<none: boolean, least: long, fp: long>"
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_scan, f"a {node}, b {node}")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(released(_scan), f"a {node}, b {node}")
 
 
 def components_of(fps: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm import word_tokens
-from tablemill.llm.common import partitions, text_or_empty, unused
+from tablemill.llm.common import partitions, released, text_or_empty, unused
 
 PER_SHARD, RECORD, ROUNDS = 4096, 2048, 6
 #: Documents come in a random order here, which a larger cache of pieces makes up for.
@@ -157,7 +157,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 1, per_s
                     fs.delete_file(left)
             raise
 
-    return ranged.mapInArrow(run, "shard long, n_sequences long, n_ids long, crc32 long")
+    return ranged.mapInArrow(released(run), "shard long, n_sequences long, n_ids long, crc32 long")
 
 
 def read_shard(path: str, shard: int, from_slot: int | None = None, record: int = RECORD) -> Iterator[tuple[int, int | None, int, np.ndarray]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import wider
+from tablemill.llm.common import released, wider
 from tablemill.llm.simhash import fingerprint
 
 #: Labelled documents of each label that the fit uses at most.
@@ -283,7 +283,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names)
 
     shape = {"score": "double", "predicted": "int"} | ({"spans": "array<struct<start:int,end:int>>"} if spans else {})
-    return base.mapInArrow(run, wider(base, **shape))
+    return base.mapInArrow(released(run), wider(base, **shape))
 
 
 def held_out() -> Column:

@@ -14,7 +14,7 @@ from itertools import chain
 import regex
 
 #: Pieces that each of a worker's two generations of the cache holds; what isn't met in a generation is forgotten.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
 _SPACE = regex.compile(r"\s+")
 _TAIL = ".,!?;:|%$&*#-)\"'"
 
