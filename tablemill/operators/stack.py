@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions.headings import identify
@@ -60,9 +60,13 @@ def combine(rows: DataFrame, resolved: DataFrame, docs: DataFrame, keys: list[st
     """rows(doc_id, row_ord, cells) of all documents under the columns `keys`, missing cells blank.
 
     resolved has (doc_id, col_ord, key); docs has (doc_id, doc_ord, filename). Where two columns of a document share a
-    key the later one counts, also where it is blank.
+    key the later one that a row reaches counts, also where it is blank.
     """
-    places = resolved.groupBy("doc_id", "key").agg(F.max("col_ord").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "at"))).alias("at"))
+    places = resolved.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("col_ord")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "at"))).alias("at"))
     joined = rows.join(docs, "doc_id").join(places, "doc_id", "left")
-    cell = lambda k: F.coalesce(F.get("cells", F.try_element_at("at", F.lit(k))), F.lit(""))
+
+    def cell(k: str) -> Column:
+        reached = F.filter(F.try_element_at("at", F.lit(k)), lambda at: at < F.size("cells"))
+        return F.coalesce(F.get("cells", F.array_max(reached)), F.lit(""))
+
     return joined.select("doc_ord", "row_ord", *(F.col("filename").alias(k) if k == SOURCE else cell(k).alias(k) for k in keys))

@@ -180,10 +180,10 @@ def barcode_repair(spark, sf_dir):
     return profile.mended(rows, code_col).select(F.col("row_ord").alias("p_partkey"), F.col("cells")[1].alias("cell"), "repaired")
 
 
-@query("SELECT k AS p_partkey, CASE WHEN k = 0 THEN '0000000|0|0000000000000|00000000000000' ELSE array_to_string(list_distinct_ordered, '|') END AS forms FROM (SELECT p_partkey AS k, [lpad(cast(p_partkey AS varchar), 7, '0'), cast(p_partkey AS varchar), lpad(cast(p_partkey AS varchar), 13, '0'), lpad(cast(p_partkey AS varchar), 14, '0')] AS list_distinct_ordered FROM part WHERE p_partkey < 1000000)")
+@query("SELECT p_partkey, concat_ws('|', lpad(cast(p_partkey AS varchar), 12, '0'), cast(p_partkey AS varchar), lpad(cast(p_partkey AS varchar), 13, '0'), lpad(cast(p_partkey AS varchar), 14, '0')) AS forms FROM part")
 def barcode_keys(spark, sf_dir):
-    digits = F.lpad(F.col("p_partkey").cast("string"), 7, "0")
-    return table(spark, sf_dir, "part").where("p_partkey < 1000000").select("p_partkey", F.array_join(barcodes.barcode_keys(digits), "|").alias("forms"))
+    digits = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(barcodes.barcode_keys(digits), "|").alias("forms"))
 
 
 # --- catalogs
@@ -195,7 +195,7 @@ def _entries(spark, sf_dir) -> DataFrame:
     null = F.lit(None).cast("string")
 
     def source(name: str, priority: int, keep: Column, price: Column, brand: Column) -> DataFrame:
-        return parts.where(keep).select(F.col("code").alias("barcode"), F.concat(F.lit(f"{name} "), "p_name").alias("name"), F.lit(name).alias("source"), price.alias("price"), brand.alias("brand"), null.alias("note"), F.lit(priority).alias("priority"), F.col("p_partkey").alias("ordinal"))
+        return parts.where(keep).select(F.col("code").alias("barcode"), F.concat(F.lit(f" {name} "), "p_name", F.lit("\u00a0 ")).alias("name"), F.lit(name).alias("source"), price.alias("price"), brand.alias("brand"), null.alias("note"), F.lit(priority).alias("priority"), F.col("p_partkey").alias("ordinal"))
 
     k = F.col("p_partkey")
     price = printed_tr(F.col("p_retailprice"), " TL")
@@ -226,12 +226,12 @@ def catalog_lookup(spark, sf_dir):
     return found.groupBy("l_returnflag").agg(F.count("digits").alias("barcode_rows"), F.count("hit").alias("matched"), F.count("hit.price").alias("priced"), F.count_distinct(missing).alias("unmatched"))
 
 
-@query(f"SELECT k AS p_partkey, CASE WHEN k % 7 = 0 THEN 'old' WHEN k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0 THEN CASE WHEN k % 5 = 0 THEN 'own ' WHEN k % 3 = 0 THEN 'shop ' ELSE 'open ' END || p_name ELSE '' END AS name, coalesce(CASE WHEN k % 5 = 0 THEN replace(cast(cast(p_retailprice + 1 AS decimal(18,2)) AS varchar), '.', ',') WHEN k % 2 = 0 THEN replace(cast(cast(p_retailprice AS decimal(18,2)) AS varchar), '.', ',') END, '') AS price FROM {CODE_SQL} JOIN part ON p_partkey = k")
+@query(f"SELECT k AS p_partkey, CASE WHEN k % 7 = 0 THEN 'old' WHEN k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0 THEN CASE WHEN k % 5 = 0 THEN 'own ' WHEN k % 3 = 0 THEN 'shop ' ELSE 'open ' END || p_name ELSE ' ' END AS name, coalesce(CASE WHEN k % 5 = 0 THEN replace(cast(cast(p_retailprice + 1 AS decimal(18,2)) AS varchar), '.', ',') WHEN k % 2 = 0 THEN replace(cast(cast(p_retailprice AS decimal(18,2)) AS varchar), '.', ',') END, '') AS price FROM {CODE_SQL} JOIN part ON p_partkey = k")
 def fill_names(spark, sf_dir):
     name = F.when(F.col("p_partkey") % 7 == 0, "old").otherwise(" ")
     rows = table(spark, sf_dir, "part").withColumn("code", gtin()).select("p_partkey", F.array(F.col("code"), name).alias("cells"))
     filled, _ = catalog.fill(rows, 0, _entries(spark, sf_dir), name_col=1, extras=("price",), mark=",")
-    return filled.select("p_partkey", F.trim(F.col("cells")[1]).alias("name"), F.col("cells")[2].alias("price"))
+    return filled.select("p_partkey", F.col("cells")[1].alias("name"), F.col("cells")[2].alias("price"))
 
 
 @query(f"SELECT code AS digits, CASE WHEN k % 2 = 0 THEN 'registry' ELSE 'open' END AS source FROM {CODE_SQL} WHERE k % 2 = 0 OR k % 3 = 0")
@@ -274,44 +274,61 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
 
 
-@query(f"SELECT n.n_nationkey AS doc, h.heading, h.key FROM nation n, ({_values(HEADINGS)}) h(heading, key)")
+@query(
+    f"SELECT n.n_nationkey AS doc, h.heading, h.key FROM nation n, ({_values(HEADINGS)}) h(heading, key) UNION ALL SELECT p_partkey, p_name, lower(p_name) FROM part "
+    "UNION ALL SELECT p_partkey, 'Malın Cinsi: ' || p_name, 'item' FROM part UNION ALL SELECT p_partkey, p_brand || ' (KDV)', lower(replace(p_brand, '#', ' ')) || ' kdv' FROM part"
+)
 def heading_identity(spark, sf_dir):
-    known = spark.createDataFrame([(h,) for h, _ in HEADINGS], "heading string")
-    each = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc")).join(F.broadcast(known))
+    """Known headings in every document, and tables' own texts as headings: unknown, named by their first words, or not."""
+    known = F.explode(F.array(*(F.lit(h) for h, _ in HEADINGS))).alias("heading")
+    parts = table(spark, sf_dir, "part")
+    texts = F.explode(F.array(F.col("p_name"), F.concat(F.lit("Malın Cinsi: "), "p_name"), F.concat("p_brand", F.lit(" (KDV)")))).alias("heading")
+    each = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc"), known).unionByName(parts.select(F.col("p_partkey").alias("doc"), texts))
     return each.select("doc", "heading", headings.identify(F.col("heading"))["key"].alias("key"))
 
 
-DOC_HEADINGS = {"a.pdf": ["Barkod", "Açıklama", "Ürün Adı", "Adet"], "b.pdf": ["Barkod", "Ürün Adı", "Açıklama", "Adet"], "d.pdf": ["Barkod", "Description"], "e.pdf": ["Ürün Adı", "Eşya Cinsi", "Açıklama"]}
-DOC_KEYS = {"a.pdf": ["barcode", "item:aciklama", "item", "quantity"], "b.pdf": ["barcode", "item", "item:aciklama", "quantity"], "d.pdf": ["barcode", "item"], "e.pdf": ["item", "item:esya cinsi", "item:aciklama"]}
-
-
-def _doc_headings(spark) -> DataFrame:
-    rows = [(d, k, i, h) for k, (d, hs) in enumerate(DOC_HEADINGS.items()) for i, h in enumerate(hs)]
-    return spark.createDataFrame(rows, "doc_id string, doc_ord int, col_ord int, heading string")
-
-
-@query(f"SELECT r.r_regionkey AS r_regionkey, v.doc_id, v.col_ord, v.key FROM region r, ({_values([(d, i, k) for d, ks in DOC_KEYS.items() for i, k in enumerate(ks)])}) v(doc_id, col_ord, key)")
+@query(
+    "SELECT s_suppkey, c.col_ord, CASE c.col_ord WHEN 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'item:aciklama ' || lower(replace(s_name, '#', ' ')) ELSE 'item' END WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'item' ELSE 'item:aciklama' END "
+    "WHEN 2 THEN lower(replace(s_name, '#', ' ')) ELSE 'barcode' END AS key FROM supplier, (VALUES (0), (1), (2), (3)) c(col_ord)"
+)
 def heading_arbitration(spark, sf_dir):
-    each = table(spark, sf_dir, "region").select("r_regionkey").join(F.broadcast(_doc_headings(spark)))
-    return stack.resolve_headings(each, ["r_regionkey", "doc_id"]).select("r_regionkey", "doc_id", "col_ord", "key")
+    """Each supplier's table has two columns that could be the item, its own name as a heading, and a barcode column."""
+    even = F.col("s_suppkey") % 2 == 0
+    own = F.concat(F.lit("Açıklama "), "s_name")
+    heads = F.array(F.when(even, own).otherwise("Ürün Adı"), F.when(even, "Ürün Adı").otherwise("AÇIKLAMA"), F.col("s_name"), F.lit("Barkodu"))
+    named = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(heads).alias("col_ord", "heading"))
+    return stack.resolve_headings(named, ["s_suppkey"]).select("s_suppkey", "col_ord", "key")
 
 
-@query(f"SELECT v.key, v.label, v.ord FROM ({_values([('__source', 'Source', 0), ('barcode', 'Barcode', 1), ('item:aciklama', 'Açıklama', 2), ('item', 'Item', 3), ('quantity', 'Quantity', 4), ('item:esya cinsi', 'Eşya Cinsi', 5)])}) v(key, label, ord)")
+@query(
+    "SELECT '__source' AS key, 'Source' AS label, 0 AS ord UNION ALL SELECT 'barcode', 'Barcode', 1 UNION ALL "
+    "SELECT lower(replace(n_name, '_', ' ')), n_name, (1 + row_number() OVER (ORDER BY n_nationkey))::int FROM nation"
+)
 def discover_columns(spark, sf_dir):
-    return stack.discover(stack.resolve_headings(_doc_headings(spark), ["doc_id"]))
+    """A document a customer, whose columns are a barcode and the name of the customer's nation, met in the order of nations."""
+    named = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.array(F.lit("Barkod"), F.concat(F.lit(" "), "n_name")).alias("heads"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("doc")).join(named, "nation", "right")
+    each = docs.select(F.coalesce("doc", F.lit(-1)).alias("doc_id"), F.col("nation").alias("doc_ord"), F.posexplode("heads").alias("col_ord", "heading"))
+    return stack.discover(stack.resolve_headings(each, ["doc_id", "doc_ord"]))
 
 
 @query(
     "SELECT 0 AS doc_ord, c_custkey AS row_ord, 'musteri.csv' AS __source, c_name AS item, cast(cast(c_acctbal AS decimal(18,2)) AS varchar) AS amount, c_mktsegment AS segment, '' AS code FROM customer "
-    "UNION ALL SELECT 1, s_suppkey, 'suppliers.csv', s_name, cast(cast(s_acctbal AS decimal(18,2)) AS varchar), '', 'S' || s_suppkey FROM supplier"
+    "UNION ALL SELECT 1, s_suppkey, 'suppliers.csv', s_name, cast(cast(s_acctbal AS decimal(18,2)) AS varchar), '', 'S' || s_suppkey FROM supplier "
+    "UNION ALL SELECT 2, n_nationkey, 'nations.csv', n_name, '1', '', CASE WHEN n_nationkey % 3 = 0 THEN '3' WHEN n_nationkey % 3 = 1 THEN '2' ELSE '' END FROM nation"
 )
 def stack_documents(spark, sf_dir):
     money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     customers = table(spark, sf_dir, "customer").select(F.lit("c").alias("doc_id"), F.col("c_custkey").alias("row_ord"), F.array("c_name", money("c_acctbal"), "c_mktsegment").alias("cells"))
     suppliers = table(spark, sf_dir, "supplier").select(F.lit("s").alias("doc_id"), F.col("s_suppkey").alias("row_ord"), F.array(money("s_acctbal"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), F.col("s_name")).alias("cells"))
+    # Ragged rows: two columns share the key amount:tutar, the later one counts in rows that reach it.
+    third = F.slice(F.array(F.col("n_name"), F.lit("1"), F.lit("2"), F.lit("3")), F.lit(1), (4 - F.col("n_nationkey") % 3).cast("int"))
+    nations = table(spark, sf_dir, "nation").select(F.lit("n").alias("doc_id"), F.col("n_nationkey").alias("row_ord"), third.alias("cells"))
+    more = spark.createDataFrame([("n", 0, "Ürün Adı"), ("n", 1, "Tutar"), ("n", 2, "Tutar"), ("n", 3, "tutar")], "doc_id string, col_ord int, heading string")
     named = spark.createDataFrame([("c", 0, "Ürün Adı"), ("c", 1, "Tutar"), ("c", 2, "Segment"), ("s", 0, "Amount"), ("s", 1, "Stok Kodu"), ("s", 2, "Product Name")], "doc_id string, col_ord int, heading string")
-    docs = spark.createDataFrame([("c", 0, "musteri.csv"), ("s", 1, "suppliers.csv")], "doc_id string, doc_ord int, filename string")
-    return stack.combine(customers.unionByName(suppliers), stack.resolve_headings(named, ["doc_id"]), docs, [stack.SOURCE, "item", "amount", "segment", "code"])
+    docs = spark.createDataFrame([("c", 0, "musteri.csv"), ("s", 1, "suppliers.csv"), ("n", 2, "nations.csv")], "doc_id string, doc_ord int, filename string")
+    whole = stack.combine(customers.unionByName(suppliers).unionByName(nations), stack.resolve_headings(named.unionByName(more), ["doc_id"]), docs, [stack.SOURCE, "item", "amount", "segment", "code", "amount:tutar"])
+    return whole.withColumn("code", F.concat("code", "amount:tutar")).drop("amount:tutar")
 
 
 @query(
@@ -410,14 +427,30 @@ def list_parse(spark, sf_dir):
     return read.select(F.split("list_id", "/")[0].alias("list_id"), "n", "barcode", "name", "price", F.split("list_id", "/")[1].alias("kind"))
 
 
-@query("SELECT cast(o_orderkey AS varchar) AS doc_id, 'Fatura' AS name, cast(o_orderkey AS varchar) AS a, CASE WHEN o_orderkey % 2 = 0 THEN 'TRUE' ELSE '' END AS b, o_orderstatus AS c FROM orders")
+@query(
+    "SELECT cast(o_orderkey AS varchar) AS doc_id, 'Fatura' AS name, cast(o_orderkey AS varchar) AS a, CASE WHEN o_orderkey % 2 = 0 THEN 'TRUE' ELSE '' END AS b, o_orderstatus AS c FROM orders "
+    "UNION ALL SELECT 'x' || o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN 'Sheet2' WHEN 2 THEN '' WHEN 3 THEN 'Text' WHEN 4 THEN 'Text' WHEN 5 THEN 'e' ELSE 'n' END, "
+    "CASE o_orderkey % 6 WHEN 0 THEN 'Infinity' WHEN 1 THEN cast(o_orderkey AS varchar) WHEN 2 THEN o_orderstatus WHEN 3 THEN '{\"sheets\":[{\"rows\":[[NaN,' || o_orderkey || ']]}]}' WHEN 4 THEN '[' || o_orderkey || ',{' END, "
+    "CASE o_orderkey % 6 WHEN 0 THEN '[1,\"a\",1.5]' END, NULL FROM orders"
+)
 def reply_sheets(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     row = F.array(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("null"), F.concat(F.lit('"'), "o_orderstatus", F.lit('"')))
     body = F.concat(F.lit('{"sheets":[{"name":"Fatura","columns":["a","b","c"],"rows":[['), F.array_join(row, ","), F.lit("]]}]}"))
     reply = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" Done."))).otherwise(body)
-    read = documents.read_replies(o.select(F.col("o_orderkey").alias("doc_id"), reply.alias("reply")))
-    return read.select("doc_id", "name", F.col("cells")[0].alias("a"), F.col("cells")[1].alias("b"), F.col("cells")[2].alias("c"))
+    # Replies that a model may give and no reader must fall over.
+    key, way = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 6
+    odd = (
+        F.when(way == 0, F.lit('{"sheets":[{"name":"n","columns":["a","b"],"rows":[[1e999,[1,"a",1.50]]]}]}'))
+        .when(way == 1, F.concat(F.lit('{"sheets":["no table",{"columns":5,"rows":[['), key, F.lit("]]}]}")))
+        .when(way == 2, F.concat(F.lit('{"sheets":[{"name":"","rows":[["'), "o_orderstatus", F.lit('"]]}]}')))
+        .when(way == 3, F.concat(F.lit('{"sheets":[{"rows":[[NaN,'), key, F.lit("]]}]}")))
+        .when(way == 4, F.concat(F.lit("["), key, F.lit(",{"), F.repeat(F.lit('"a":['), 0)))
+        .otherwise(F.lit('{"sheets":[{"name":"e","columns":["a"],"rows":7}]}'))
+    )
+    both = o.select(F.col("o_orderkey").cast("string").alias("doc_id"), reply.alias("reply")).unionByName(o.select(F.concat(F.lit("x"), key).alias("doc_id"), odd.alias("reply")))
+    read = documents.read_replies(both)
+    return read.select("doc_id", "name", F.get("cells", F.lit(0)).alias("a"), F.get("cells", F.lit(1)).alias("b"), F.get("cells", F.lit(2)).alias("c"))
 
 
 @query(f"SELECT 'https://shop.example.com/urun/' || k AS url, code AS barcode, p_name AS name, cast(cast(p_retailprice AS decimal(18,2)) AS varchar) AS price, p_brand AS brand FROM {CODE_SQL} JOIN part ON p_partkey = k")
@@ -456,13 +489,19 @@ def json_files(spark, sf_dir):
     return read.select("doc_id", F.size("x.sheets").alias("n_sheets"), F.size(F.col("x.sheets")[0]["rows"]).cast("bigint").alias("n_rows"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has_text FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 IN (0, 6) THEN true WHEN p_partkey % 7 = 1 THEN false END AS has_text FROM part")
 def pdf_probe(spark, sf_dir):
-    """Documents that draw text, that only show an image, and that are encrypted."""
+    """Documents that draw text, plain or by hex strings, that only show an image beside plain streams, that are encrypted,
+    whose only stream is a JPEG, that draw text in less than 200 bytes, and that have no image."""
     stream = lambda body: F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< >>\nstream\n"), body, F.lit("\nendstream\nendobj\n"))
-    drawn = stream(F.concat(F.lit("BT ("), F.repeat(F.col("p_name"), 20), F.lit(") Tj ET")))
+    drawn = stream(F.concat(F.lit("BT ("), F.repeat(F.col("p_name"), 60), F.lit(") Tj ET")))
     image = F.concat(F.lit("<< /Subtype /Image >>"), stream(F.repeat(F.lit("q 1 0 0 1 0 0 cm /Im0 Do Q "), 12)))
-    raw = F.when(F.col("p_partkey") % 3 == 0, drawn).when(F.col("p_partkey") % 3 == 1, image).otherwise(F.concat(F.lit("/Encrypt "), drawn))
+    jpeg = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Subtype /Image /Filter /DCTDecode >>\nstream\n"), F.repeat(F.col("p_name"), 40), F.lit("\nendstream\nendobj\n"))
+    short = stream(F.concat(F.lit("BT ("), F.rpad(F.col("p_name"), 80, "x"), F.lit(") Tj ET")))
+    lines = stream(F.repeat(F.lit("0 0 m 1 1 l S "), 30))
+    hexed = stream(F.concat(F.lit("BT <"), F.repeat(F.hex("p_name"), 60), F.lit("> Tj ET")))
+    way = F.col("p_partkey") % 7
+    raw = F.when(way == 0, drawn).when(way == 1, image).when(way == 2, F.concat(F.lit("/Encrypt "), drawn)).when(way == 3, jpeg).when(way == 4, short).when(way == 5, lines).otherwise(hexed)
     return table(spark, sf_dir, "part").select("p_partkey", files.text_layer(F.encode(raw, "UTF-8")).alias("has_text"))
 
 

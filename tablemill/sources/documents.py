@@ -15,21 +15,45 @@ from tablemill.functions.barcodes import normalize_barcode
 from tablemill.functions.headings import BARCODE_TERMS, ITEM_TERMS, LIST_BRAND_TERMS, LIST_PRICE_TERMS, normalize_heading, pattern
 from tablemill.functions.text import blank, trim
 from tablemill.functions.web import host, is_public_https
-from tablemill.sources.limits import MAX_PRODUCTS
+from tablemill.sources.limits import MAX_CHILD_SITEMAPS, MAX_LIST_CHARS, MAX_PRODUCTS
 
 # --- model replies
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def load_json(text: str) -> object | None:
+    """The value of a JSON text, None for one that is none; NaN and Infinity aren't JSON, deep nesting isn't read."""
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return None
+
+
 def extract_json(text: str) -> object | None:
     """The reply's JSON: the whole of it without a code fence, else from its first to its last brace."""
-    fenced = re.match(r"^\s*```(?:json)?\s*(.*?)\s*```\s*$", text, re.DOTALL)
-    plain = fenced[1] if fenced else text.strip()
-    for part in (plain, plain[plain.find("{") : plain.rfind("}") + 1]):
-        try:
-            return json.loads(part)
-        except ValueError:
-            continue
-    return None
+    plain = text.strip()
+    if plain.startswith("```"):
+        plain = re.sub(r"\n?```$", "", re.sub(r"^```[a-zA-Z0-9]*\n?", "", plain)).strip()
+    whole = load_json(plain)
+    return load_json(plain[plain.find("{") : plain.rfind("}") + 1]) if whole is None else whole
+
+
+def _plain_number(value: float) -> str:
+    """A float as JavaScript prints it: no point for whole ones, exponents from 1e21 on and below 1e-6."""
+    if value in (float("inf"), float("-inf")):
+        return "Infinity" if value > 0 else "-Infinity"
+    if value == int(value) and abs(value) < 1e21:
+        return str(int(value))
+    shown = repr(value)
+    if "e" in shown:
+        digits, _, power = shown.partition("e")
+        if -7 < int(power) < 0:
+            return f"{value:.{len(digits.replace('.', '').lstrip('-')) - 1 - int(power)}f}"
+        return f"{digits.removesuffix('.0')}e{int(power):+d}"
+    return shown
 
 
 def cell_text(value: object) -> str:
@@ -39,22 +63,42 @@ def cell_text(value: object) -> str:
         return "TRUE" if value else "FALSE"
     if isinstance(value, str):
         return value
-    if isinstance(value, float) and value == int(value):
-        return str(int(value))
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    if isinstance(value, (int, float)):
+        return _plain_number(value) if isinstance(value, float) or abs(value) < 2**53 else _plain_number(float(value)) if abs(value) < 10**308 else "Infinity" if value > 0 else "-Infinity"
+    return _compact(value)
+
+
+def _compact(value: object) -> str:
+    """A list or object as JSON, numbers as cells print them and what is beyond them as null."""
+    if isinstance(value, list):
+        return "[" + ",".join(map(_compact, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_compact(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        shown = cell_text(value)
+        return "null" if "Infinity" in shown else shown
+    return json.dumps(value, ensure_ascii=False)
 
 
 def reply_sheets(text: str) -> list[tuple[str, list[str], list[list[str]]]]:
-    """(name, headings, rows) of a reply, padded to one width; text without tables is one column of its lines."""
+    """(name, headings, rows) of a reply, padded to one width; text without tables is one column of its lines.
+
+    What should be a list and isn't counts as none; entries that are no objects are passed over and don't number others.
+    """
     data = extract_json(text)
     found = data.get("sheets") if isinstance(data, dict) else None
     if not isinstance(found, list) or not found:
-        return [("Text", ["content"], [[x] for x in text.splitlines() if x.strip()])]
+        return [("Text", ["content"], [[x] for x in text.split("\n") if x.strip()])]
+    listed = lambda x: x if isinstance(x, list) else []
     out = []
-    for at, sheet in enumerate(s if isinstance(s, dict) else {} for s in found):
-        columns = [cell_text(c) for c in sheet.get("columns") or []]
+    for at, sheet in enumerate(found):
+        if isinstance(sheet, list):
+            sheet = {}
+        if not isinstance(sheet, dict):
+            continue
+        columns = [cell_text(c) for c in listed(sheet.get("columns"))]
         rows = []
-        for row in sheet.get("rows") or []:
+        for row in listed(sheet.get("rows")):
             if isinstance(row, list):
                 rows.append([cell_text(v) for v in row])
             elif isinstance(row, dict):
@@ -62,16 +106,20 @@ def reply_sheets(text: str) -> list[tuple[str, list[str], list[list[str]]]]:
             else:
                 rows.append([cell_text(row)])
         width = max([len(columns), *map(len, rows)], default=0)
-        out.append((cell_text(sheet.get("name")) or f"Sheet{at + 1}", columns + [""] * (width - len(columns)), [r + [""] * (width - len(r)) for r in rows]))
-    return out
+        name = f"Sheet{at + 1}" if sheet.get("name") is None else cell_text(sheet["name"])
+        out.append((name, columns + [""] * (width - len(columns)), [r + [""] * (width - len(r)) for r in rows]))
+    return out or [("Text", ["content"], [])]
 
 
 def read_replies(replies: DataFrame) -> DataFrame:
-    """replies(doc_id, reply) as (doc_id, sheet_ord, name, columns, row_ord, cells)."""
+    """replies(doc_id, reply) as (doc_id, sheet_ord, name, columns, row_ord, cells).
+
+    A sheet without rows gives one row with row_ord -1 and null cells, so that none is lost. A null reply is empty.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, k, name, columns, n, cells) for d, t in zip(b["doc_id"], b["reply"], strict=True) for k, (name, columns, body) in enumerate(reply_sheets(t or "")) for n, cells in enumerate(body)]
+            rows = [(d, k, name, columns, n, cells) for d, t in zip(b["doc_id"], b["reply"], strict=True) for k, (name, columns, body) in enumerate(reply_sheets(t or "")) for n, cells in (enumerate(body) if body else [(-1, None)])]
             yield pd.DataFrame(rows, columns=["doc_id", "sheet_ord", "name", "columns", "row_ord", "cells"])
 
     return replies.select(F.col("doc_id").cast("string").alias("doc_id"), "reply").mapInPandas(run, "doc_id string, sheet_ord int, name string, columns array<string>, row_ord int, cells array<string>")
@@ -129,11 +177,7 @@ def products(pages: DataFrame, source: str) -> DataFrame:
             for url, texts in zip(b["url"], b["blocks"], strict=True):
                 n = 0
                 for text in texts:
-                    try:
-                        data = json.loads(text)
-                    except ValueError:
-                        continue
-                    for node in ld_nodes(data):
+                    for node in ld_nodes(load_json(text)):
                         name = node.get("name")
                         if not isinstance(name, str) or not name.strip():
                             continue
@@ -170,6 +214,39 @@ def newest_workbook(html: Column, publisher: str) -> Column:
     return F.replace(F.coalesce(F.get(own, F.lit(0)), F.get(links, F.lit(0))), F.lit("&amp;"), F.lit("&"))
 
 
+#: Where a sitemap stands if robots.txt names none; marks of one; children that name products.
+SITEMAP_PLACES = ["/sitemap.xml", "/sitemap/", "/sitemap_index.xml"]
+SITEMAP = r"(?i)<(urlset|sitemapindex)"
+SITEMAP_INDEX = r"(?i)<sitemapindex"
+PRODUCT_CHILD = r"(?i)(product|urun)"
+
+
+def sitemap_candidates(sites: DataFrame) -> DataFrame:
+    """sites(site, robots) as (site, ord, url): what robots.txt names, in its order, then the usual places."""
+    named = F.regexp_extract_all(F.coalesce("robots", F.lit("")), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))
+    usual = F.transform(F.array(*map(F.lit, SITEMAP_PLACES)), lambda p: F.concat("site", p))
+    return sites.select("site", F.posexplode(F.concat(named, usual)).alias("ord", "url"))
+
+
+def find_sitemaps(sites: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(site, xml): each site's first candidate among fetched(url, body) that is a sitemap; a site without one has no row."""
+    read = sitemap_candidates(sites).join(fetched.where(F.col("body").rlike(SITEMAP)).select("url", "body"), "url")
+    return read.groupBy("site").agg(F.min_by("body", "ord").alias("xml"))
+
+
+def expand_sitemaps(roots: DataFrame, fetched: DataFrame, children: int = MAX_CHILD_SITEMAPS) -> DataFrame:
+    """roots(site, xml) as sitemaps(site, ord, xml): an index gives its first `children` maps, those that name products
+    if there are any; a child that wasn't fetched is passed over. Other roots are themselves."""
+    index = F.col("xml").rlike(SITEMAP_INDEX)
+    named = roots.where(index).select("site", F.posexplode(locations(F.col("xml"))).alias("ord", "url"))
+    named = named.withColumn("product", F.col("url").rlike(PRODUCT_CHILD) & ~F.col("url").rlike(NOT_PRODUCT))
+    some = F.max("product").over(Window.partitionBy("site"))
+    place = F.row_number().over(Window.partitionBy("site").orderBy("ord"))
+    chosen = named.withColumn("some", some).where(F.col("product") | ~F.col("some")).withColumn("place", place).where(F.col("place") <= children)
+    maps = chosen.join(fetched.select("url", "body"), "url").select("site", F.col("place").alias("ord"), F.col("body").alias("xml"))
+    return maps.unionByName(roots.where(~index).select("site", F.lit(0).alias("ord"), "xml"))
+
+
 def product_urls(sitemaps: DataFrame, limit: int = MAX_PRODUCTS) -> DataFrame:
     """sitemaps(site, ord, xml) as (site, url, n): a site's own product addresses in order, or all its own if none is one."""
     each = sitemaps.select("site", "ord", F.posexplode(locations(F.col("xml"))).alias("pos", "url"))
@@ -185,9 +262,19 @@ def product_urls(sitemaps: DataFrame, limit: int = MAX_PRODUCTS) -> DataFrame:
 
 
 def split_commas(line: Column) -> Column:
-    """Cells between commas outside quotes; a doubled quote inside quotes is one."""
-    marked = F.regexp_replace(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', "\u0001")
-    return F.transform(F.split(marked, "\u0001"), lambda c: F.replace(F.regexp_replace(F.replace(c, F.lit('""'), F.lit("\u0002")), '"', ""), F.lit("\u0002"), F.lit('"')))
+    """Cells between commas outside quotes; a doubled quote inside quotes is one.
+
+    One linear pass: between quotes, every second piece is inside; an empty piece outside, between two inside ones, was
+    a doubled quote. Commas outside become cell ends before the pieces are joined again.
+    """
+    pieces = F.split(line, '"', -1)
+    last = F.size(pieces) - 1
+
+    def piece(x: Column, at: Column) -> Column:
+        doubled = (x == "") & (at > 0) & (at < last)
+        return F.when(at % 2 == 1, x).when(doubled, F.lit('"')).otherwise(F.replace(x, F.lit(","), F.lit("\u0001")))
+
+    return F.split(F.array_join(F.transform(pieces, piece), ""), "\u0001", -1)
 
 
 def split_line(line: Column) -> Column:
@@ -244,6 +331,7 @@ def parse_list(lines: DataFrame, source: str) -> DataFrame:
     return out.withColumn("skipped", F.col("barcode").isNull() | blank("name"))
 
 
-def append_list(old: str, new: str, limit: int = 500_000) -> str:
+def append_list(old: str, new: str, limit: int = MAX_LIST_CHARS) -> str:
+    """A pasted list with another put after it, cut at `limit` characters as the reader's limit says."""
     return (f"{old.rstrip()}\n{new}" if old.strip() else new)[:limit]
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +42,7 @@ def read_sheets(files: DataFrame) -> DataFrame:
                         raise ValueError("file too large")
                     for k, (name, columns, rows) in enumerate(sheets_of(path, bytes(content))):
                         out += [(path, k, name, columns, r, cells, None) for r, cells in enumerate(rows)] or [(path, k, name, columns, -1, None, None)]
-                except (ValueError, KeyError, zipfile.BadZipFile, SyntaxError) as e:
+                except Exception as e:  # a damaged file can fail anywhere in its reader
                     error = str(e) or type(e).__name__
                 if error:
                     out = [(path, None, None, None, None, None, error)]
@@ -56,30 +55,60 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return read_sheets(spark.read.format("binaryFile").load(path))
 
 
-#: Marks of a PDF's drawing operators and images.
-_SHOWN = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>")
+#: Marks of images, drawn strings, and the least sizes that say something.
 _IMAGE = re.compile(rb"/Subtype\s*/Image|/DCTDecode|/JPXDecode|/CCITTFaxDecode|/JBIG2Decode")
+_LITERAL = re.compile(rb"\(((?:\\.|[^\\()])*)\)")
+_HEX = re.compile(rb"<([0-9A-Fa-f\s]{2,})>\s*(?:Tj|TJ)")
+_FLATE = re.compile(rb"/Filter[^>]*/FlateDecode")
+DECODED_BYTES, SHOWN_CHARS = 200, 64
+
+
+def _inflated(body: bytes) -> bytes | None:
+    for window in (zlib.MAX_WBITS, -zlib.MAX_WBITS):  # with a header, then raw
+        try:
+            reader = zlib.decompressobj(window)
+            out = reader.decompress(body)
+            if reader.eof:
+                return out
+        except zlib.error:
+            continue
+    return None
+
+
+def _streams(raw: bytes) -> Iterator[bytes]:
+    """What the streams hold that are plain or deflated; others, such as images, are passed over."""
+    at = 0
+    while (start := raw.find(b"stream", at)) >= 0:
+        body = start + len(b"stream")
+        body += raw[body : body + 1] == b"\r"
+        body += raw[body : body + 1] == b"\n"
+        end = raw.find(b"endstream", body)
+        if end < 0:
+            return
+        at = end + len(b"endstream")
+        head = raw.rfind(b"<<", 0, start)
+        if head < 0:
+            continue
+        if _FLATE.search(raw, head, start):
+            if (plain := _inflated(raw[body:end])) is not None:
+                yield plain
+        elif raw.find(b"/Filter", head, start) < 0:
+            yield raw[body:end]
 
 
 def has_text_layer(raw: bytes) -> bool | None:
     """Whether a PDF draws text: true from 64 characters on, false if it only shows images, null if it can't be told."""
     if b"/Encrypt" in raw:
         return None
-    seen, shown = 0, 0
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\n?endstream", raw, re.DOTALL):
-        body = m[1]
-        if b"/FlateDecode" in raw[max(0, m.start() - 400) : m.start()].rsplit(b"obj", 1)[-1]:
-            try:
-                body = zlib.decompressobj().decompress(body)
-            except zlib.error:
-                continue
-        seen += len(body)
-        for block in re.findall(rb"BT\b(.*?)\bET", body, re.DOTALL):
-            shown += sum(len(a) or len(re.sub(rb"\s", b"", b)) // 2 for a, b in _SHOWN.findall(block))
-        if shown >= 64:
-            return True
-    if seen < 200:
+    decoded = shown = 0
+    for body in _streams(raw):
+        decoded += len(body)
+        if b"BT" in body:
+            shown += sum(map(len, _LITERAL.findall(body))) + sum(len(b"".join(h.split())) // 2 for h in _HEX.findall(body))
+    if decoded < DECODED_BYTES:
         return None
+    if shown >= SHOWN_CHARS:
+        return True
     return False if _IMAGE.search(raw) else None
 
 
@@ -91,3 +120,10 @@ def text_layer(content: pd.Series) -> pd.Series:
 def engine_choice(layer: Column, text_rows: Column) -> Column:
     """Which engine's answer counts: OCR where there is no text layer, or where the text engine found no rows."""
     return F.when(~layer, "ocr").when(text_rows > 0, "text").otherwise("ocr")
+
+
+def engine_cost(layer: Column, text_rows: Column, text_cost: Column, ocr_cost: Column) -> Column:
+    """What the engines that ran cost together: the sum of the known costs, null if none is known."""
+    text = F.when(F.coalesce(layer, F.lit(True)), text_cost)
+    ocr = F.when(~F.coalesce(layer, F.lit(True)) | (text_rows <= 0), ocr_cost)
+    return F.when(text.isNotNull() | ocr.isNotNull(), F.coalesce(text, F.lit(0)) + F.coalesce(ocr, F.lit(0)))

@@ -75,3 +75,51 @@ def test_folder_and_stream(spark, tmp_path):
 def test_formula_guard(spark, cell, want):
     got = spark.range(1).select(sinks.guard(F.lit(cell)).alias("g"), sinks.unguard(sinks.guard(F.lit(cell))).alias("u")).first()
     assert (got["g"], got["u"]) == (want, cell)
+
+
+def test_headings_that_rival_for_one_identity(spark):
+    headings = {"a.pdf": ["Barkod", "Açıklama", "Ürün Adı", "Adet"], "b.pdf": ["Barkod", "Ürün Adı", "Açıklama", "Adet"], "d.pdf": ["Barkod", "Description"], "e.pdf": ["Ürün Adı", "Eşya Cinsi", "Açıklama"]}
+    keys = {"a.pdf": ["barcode", "item:aciklama", "item", "quantity"], "b.pdf": ["barcode", "item", "item:aciklama", "quantity"], "d.pdf": ["barcode", "item"], "e.pdf": ["item", "item:esya cinsi", "item:aciklama"]}
+    rows = [(d, k, i, h) for k, (d, hs) in enumerate(headings.items()) for i, h in enumerate(hs)]
+    named = stack.resolve_headings(spark.createDataFrame(rows, "doc_id string, doc_ord int, col_ord int, heading string"), ["doc_id"])
+    got = {(r["doc_id"], r["col_ord"]): r["key"] for r in named.select("doc_id", "col_ord", "key").collect()}
+    assert got == {(d, i): k for d, ks in keys.items() for i, k in enumerate(ks)}
+    assert [r["label"] for r in stack.discover(stack.resolve_headings(spark.createDataFrame(rows, "doc_id string, doc_ord int, col_ord int, heading string"), ["doc_id", "doc_ord"])).orderBy("ord").collect()] == ["Source", "Barcode", "Açıklama", "Item", "Quantity", "Eşya Cinsi"]
+
+
+def test_turkish_order(spark):
+    names = ["çam", "cam", "ılık", "ilik", "İyi", "zar", "şan", "sar", "Öz", "on", "Ufuk", "ürün"]
+    got = catalog.by_turkish_name(spark.createDataFrame([(n, str(k)) for k, n in enumerate(names)], "name string, barcode string")).collect()
+    assert [r["name"] for r in got] == ["cam", "çam", "ılık", "ilik", "İyi", "on", "Öz", "sar", "şan", "Ufuk", "ürün", "zar"]
+
+
+def test_replies_that_readers_must_survive():
+    from tablemill.sources.documents import cell_text, ld_nodes, load_json, reply_sheets
+
+    assert reply_sheets("a\x0cb\u2028c\n\nd") == [("Text", ["content"], [["a\x0cb\u2028c"], ["d"]])]
+    assert reply_sheets("[" * 100_000)[0][0] == "Text" and load_json("[" * 100_000) is None and load_json("NaN") is None
+    assert reply_sheets('{"sheets": [1, {"name": "b"}, null]}') == [("b", [], [])] and reply_sheets('{"sheets": [3]}') == [("Text", ["content"], [])]
+    assert [cell_text(x) for x in (1e21, 1e-7, 0.00001, 1.5, -2.0, 10**20, 2**70, float("inf"), [1.0, None, {"a": True}])] == ["1e+21", "1e-7", "0.00001", "1.5", "-2", "100000000000000000000", "1.1805916207174113e+21", "Infinity", '[1,null,{"a":true}]']
+    assert ld_nodes(None) == []
+
+
+def test_comma_lines(spark):
+    from tablemill.sources.documents import split_commas
+
+    lines = {'a,"b,c",d': ["a", "b,c", "d"], '"x ""y"", z",2': ['x "y", z', "2"], "": [""], ",": ["", ""], '"",a': ["", "a"], ",".join(['"a,b"'] * 20_000): ["a,b"] * 20_000}
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", split_commas(F.col("line")).alias("cells")).collect()
+    assert {r["line"]: r["cells"] for r in got} == lines
+
+
+def test_unreadable_files_are_not_lost(spark):
+    from tablemill.sources.files import has_text_layer, read_sheets
+    import zlib
+
+    files = spark.createDataFrame([("a.xlsx", bytearray(b"PK\x03\x04" + b"x" * 60)), ("b.csv", bytearray(b"")), ("c.csv", bytearray(b"a;b\n1;2"))], "path string, content binary")
+    got = {r["doc_id"]: r["error"] for r in read_sheets(files).collect()}
+    assert got["a.xlsx"] and got["b.csv"] and got["c.csv"] is None
+    body = b"BT (" + b"x" * 300 + b") Tj ET"
+    pdf = lambda data, how: b"%PDF\n<< " + how + b" >>\nstream\n" + data + b"\nendstream"
+    packer = zlib.compressobj(wbits=-15)
+    assert has_text_layer(pdf(zlib.compress(body), b"/Filter /FlateDecode")) and has_text_layer(pdf(packer.compress(body) + packer.flush(), b"/Filter /FlateDecode"))
+    assert has_text_layer(pdf(b"x" * 400, b"/Subtype /Image /Filter /DCTDecode")) is None and has_text_layer(pdf(body[:100] + b") Tj ET", b"")) is None
