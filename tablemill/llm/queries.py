@@ -125,12 +125,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN joined USING (doc_id)""",
     "op8_suffix_array": """
-        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        windows AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(h, 2 * i + 1, 100)) AS first FROM d, unnest(range(0, length(h) // 2 - 49)) u(i)),
-        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM windows, range(50) r(k) WHERE first < doc_id),
-        kept AS (SELECT d.doc_id, u.i, substr(h, 2 * u.i + 1, 2) AS b FROM d, unnest(range(0, length(h) // 2)) u(i) ANTI JOIN gone ON gone.doc_id = d.doc_id AND gone.i = u.i),
-        joined AS (SELECT doc_id, count(*) AS n, string_agg(b, '' ORDER BY i) AS h2 FROM kept GROUP BY doc_id),
-        spans AS (SELECT doc_id, count(*) FILTER (WHERE last IS NULL OR last < i - 1) AS n_spans FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM gone) GROUP BY doc_id)
-        SELECT d.doc_id, length(h) // 2 AS n_bytes, length(h) // 2 - coalesce(n, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h2, ''))) AS kept_sha256
-        FROM d LEFT JOIN joined USING (doc_id) LEFT JOIN spans USING (doc_id)""",
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        windows AS (SELECT doc_id, i, b[i + 1:i + 50] AS s FROM d, unnest(range(0, octet_length(b) - 49)) u(i)),
+        shared AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        starts AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM windows JOIN shared USING (s) WHERE first < doc_id),
+        numbered AS (SELECT doc_id, i, count(*) FILTER (WHERE gap IS NULL OR gap > 50) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY doc_id, run),
+        between_spans AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+        cut AS (SELECT doc_id, count(*) AS n, sum(z - a)::BIGINT AS gone, max(z) AS z, string_agg(hex(b[before + 1:a]), '' ORDER BY a) AS h FROM between_spans JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, octet_length(b) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+               sha256(unhex(coalesce(h, '') || hex(b[coalesce(z, 0) + 1:octet_length(b)]))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)""",
 }
