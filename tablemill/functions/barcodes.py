@@ -27,9 +27,12 @@ def read_digits(text: Column) -> Column:
 
 
 def normalize_barcode(raw: Column | str) -> Column:
-    """6 to 14 digits, or null."""
+    """6 to 14 digits, or null. A cell of digits alone needs no reading, one without any has none."""
     cut = F.regexp_replace(trim(raw), "[.,]0+$", "")
-    return let(cut, lambda s: F.when((s != "") & ~s.rlike("[.,][0-9]*[1-9]"), let(read_digits(s), lambda d: F.when(F.length(d).between(6, 14), d))))
+    plain = lambda s: F.when(F.length(s).between(6, 14), s)
+    read = let(cut, lambda s: F.when((s != "") & ~s.rlike("[.,][0-9]*[1-9]"), let(read_digits(s), plain)))
+    c = col(raw)
+    return F.when(c.rlike(r"^[0-9]+\z"), plain(c)).when(c.rlike("[0-9]"), read)
 
 
 def check_digit(body: Column) -> Column:

@@ -6,19 +6,26 @@ DECIMAL(38,10): figures are rewritten from what was printed, not from a binary a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.text import END, SPACE, START, col, let, trim
 
 #: Currency signs and words that may stand around a figure.
 CURRENCY = rf"[$€£₺¥]|{START}(?i:TL|TRY|USD|EUR|GBP){END}"
+#: What is left of a figure without what is printed around it.
+FIGURE = "^[0-9][0-9.,]*$"
 MAX_PLACES = 6
 DECIMAL = "decimal(38,10)"
 
 
 def bare(raw: Column | str) -> Column:
     """struct(s, negative): digits and separators of a figure without what is printed around it; null if it isn't one."""
+    return let(trim(raw), bare_of)
+
+
+def bare_of(t: Column) -> Column:
+    """bare() of a trimmed cell; most figures have nothing around them, and most texts no digit."""
 
     def stripped(t: Column) -> Column:
         paren = t.rlike(r"^\(.*\)$")
@@ -31,7 +38,8 @@ def bare(raw: Column | str) -> Column:
 
         return let(plain, signed)
 
-    return let(let(trim(raw), stripped), lambda x: F.when(x["s"].rlike("^[0-9][0-9.,]*$"), x))
+    dressed = F.when(t.rlike("[0-9]"), let(stripped(t), lambda x: F.when(x["s"].rlike(FIGURE), x)))
+    return F.when(t.rlike(FIGURE), F.struct(t.alias("s"), F.lit(False).alias("negative"))).otherwise(dressed)
 
 
 def _halves(s: Column, mark: str | None) -> Column:
@@ -46,15 +54,42 @@ def _halves(s: Column, mark: str | None) -> Column:
 
 def read(raw: Column | str, mark: str | None = None) -> Column:
     """struct(value, places) of a figure under a mark, or by the cell alone; null if it isn't a figure."""
-
-    def value(x: Column, h: Column) -> Column:
-        digits = F.regexp_replace(h["whole"], "[.,]", "")
-        grouped = ~h["whole"].rlike("[.,]") | h["whole"].rlike(r"^[0-9]{1,3}(?:[.,][0-9]{3})*$")
-        number = F.concat(F.when(digits == "", "0").otherwise(digits), F.lit("."), F.when(h["part"] == "", "0").otherwise(h["part"])).try_cast(DECIMAL)
-        good = h.isNotNull() & grouped & ((digits != "") | (h["part"] != "")) & number.isNotNull()
-        return F.when(good, F.struct(F.when(x["negative"], -number).otherwise(number).cast(DECIMAL).alias("value"), F.length(h["part"]).alias("places")))
-
-    return let(bare(raw), lambda x: let(_halves(x["s"], mark), lambda h: value(x, h)))
+    return let(bare(raw), lambda x: let(_halves(x["s"], mark), lambda h: _value(x["negative"], h)))
+
+
+def _value(negative: Column, h: Column) -> Column:
+    """struct(value, places) of halves around the decimal point; null if they aren't a figure's."""
+    digits = F.translate(h["whole"], ".,", "")
+    grouped = (digits == h["whole"]) | h["whole"].rlike(r"^[0-9]{1,3}(?:[.,][0-9]{3})*$")
+    number = F.concat(F.when(digits == "", "0").otherwise(digits), F.lit("."), F.when(h["part"] == "", "0").otherwise(h["part"])).try_cast(DECIMAL)
+    good = h.isNotNull() & grouped & ((digits != "") | (h["part"] != "")) & number.isNotNull()
+    return F.when(good, F.struct(F.when(negative, -number).otherwise(number).cast(DECIMAL).alias("value"), F.length(h["part"]).alias("places")))
+
+
+def with_readings(df: DataFrame, raw: str, marks: dict[str, str | None], vote: str, skip: str) -> DataFrame:
+    """df with a column of read(raw, mark) for each of marks, and the cell's vote for a mark unless skip is true.
+
+    What the readings share is worked out in steps of their own, once a row: the bare figure, and its value with the
+    last separator as the decimal point and without one. raw is trimmed and not null.
+    """
+    x, whole, last = F.col("__x"), F.col("__whole"), F.col("__last")
+    s, n, after = x["s"], {m: F.col(f"__n{m}") for m in ("dot", "comma")}, {m: F.col(f"__after_{m}") for m in ("dot", "comma")}
+    out = df.withColumn("__x", bare_of(F.col(raw)))
+    for m, sign in (("dot", "."), ("comma", ",")):
+        out = out.withColumn(f"__n{m}", _count(s, sign)).withColumn(f"__after_{m}", _after(s, sign))
+    tail = F.least(*after.values())
+    halves = F.struct(s.substr(F.lit(1), F.length(s) - tail - 1).alias("whole"), F.right(s, tail).alias("part"))
+    out = out.withColumn("__halves", F.when(n["dot"] + n["comma"] > 0, halves))
+    out = out.withColumn("__whole", F.when(s.isNotNull(), _value(x["negative"], F.struct(s.alias("whole"), F.lit("").alias("part")))))
+    out = out.withColumn("__last", F.when(F.col("__halves").isNotNull(), _value(x["negative"], F.col("__halves"))))
+    for name, mark in marks.items():
+        if mark:
+            own, other = ("dot", "comma") if mark == "." else ("comma", "dot")
+            out = out.withColumn(name, F.when(n[own] == 0, whole).when((n[own] == 1) & (after[own] < after[other]), last))
+        else:
+            out = out.withColumn(name, F.when((n["dot"] > 0) & (n["comma"] > 0), last).when((n["dot"] + n["comma"] == 1) & tail.between(1, 2), last).otherwise(whole))
+    out = out.withColumn(vote, F.when(~F.col(skip), _voted(n["dot"], n["comma"], after["dot"], after["comma"])))
+    return out.drop("__x", "__halves", "__whole", "__last", *(f"__n{m}" for m in n), *(f"__after_{m}" for m in n))
 
 
 def read_by(raw: Column | str, mark: Column) -> Column:
@@ -72,35 +107,46 @@ def decimal_places(raw: Column | str, mark: str | None = None) -> Column:
 
 def mark_vote(raw: Column | str) -> Column:
     """The decimal mark that a cell speaks for, or null."""
+    return let(bare(raw)["s"], lambda s: _voted(_count(s, "."), _count(s, ","), _after(s, "."), _after(s, ",")))
+
 
-    def vote(s: Column) -> Column:
-        one = F.regexp_extract(s, r"([.,])[^.,]*$", 1)
-        other = F.when(one == ",", ".").otherwise(",")
-        tail = F.length(F.regexp_extract(s, r"([^.,]*)$", 1))
-        return F.when(s.contains(".") & s.contains(","), one).when(one == "", F.lit(None)).when(s.rlike(r"[.,].*[.,]"), other).when(~tail.isin(0, 3), one)
+def _count(s: Column, sign: str) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit(sign), F.lit("")))
 
-    return let(bare(raw)["s"], vote)
+
+def _after(s: Column, sign: str) -> Column:
+    """How many characters follow the last sign; all of them where there is none."""
+    return F.length(F.substring_index(s, sign, -1))
+
+
+def _voted(dots: Column, commas: Column, after_dot: Column, after_comma: Column) -> Column:
+    last, other = F.when(after_dot < after_comma, ".").otherwise(","), F.when(after_dot < after_comma, ",").otherwise(".")
+    alone = F.when(dots + commas > 1, other).when(~F.least(after_dot, after_comma).isin(0, 3), last)
+    return F.when((dots > 0) & (commas > 0), last).when(dots + commas > 0, alone)
 
 
 def parse_date(raw: Column | str) -> Column:
     """DATE of a printed calendar date; null if it isn't one or its day and month can't be told apart."""
+    return let(trim(raw), date_of)
+
+
+def date_of(t: Column) -> Column:
+    """parse_date() of a trimmed cell."""
 
     def made(y: Column, m: Column, d: Column) -> Column:
         year = y.try_cast("int")
         return F.try_make_timestamp(F.when(year < 100, year + 1900).otherwise(year), m.try_cast("int"), d.try_cast("int"), F.lit(0), F.lit(0), F.lit(0.0).cast("decimal(16,6)")).cast("date")
 
-    def date(t: Column) -> Column:
-        iso, euro, slash = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", r"^([0-9]{1,2})[.\-]([0-9]{1,2})[.\-]([0-9]{4})$", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
-        g = lambda p, k: F.regexp_extract(t, p, k)
-        a, b = g(slash, 1).try_cast("int"), g(slash, 2).try_cast("int")
-        return (
-            F.when(t.rlike(iso), made(g(iso, 1), g(iso, 2), g(iso, 3)))
-            .when(t.rlike(euro), made(g(euro, 3), g(euro, 2), g(euro, 1)))
-            .when(t.rlike(slash) & (a > 12) & (b <= 12), made(g(slash, 3), g(slash, 2), g(slash, 1)))
-            .when(t.rlike(slash) & (b > 12) & (a <= 12), made(g(slash, 3), g(slash, 1), g(slash, 2)))
-        )
-
-    return let(trim(raw), date)
+    iso, euro, slash = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", r"^([0-9]{1,2})[.\-]([0-9]{1,2})[.\-]([0-9]{4})$", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
+    g = lambda p, k: F.regexp_extract(t, p, k)
+    a, b = g(slash, 1).try_cast("int"), g(slash, 2).try_cast("int")
+    found = (
+        F.when(t.rlike(iso), made(g(iso, 1), g(iso, 2), g(iso, 3)))
+        .when(t.rlike(euro), made(g(euro, 3), g(euro, 2), g(euro, 1)))
+        .when(t.rlike(slash) & (a > 12) & (b <= 12), made(g(slash, 3), g(slash, 2), g(slash, 1)))
+        .when(t.rlike(slash) & (b > 12) & (a <= 12), made(g(slash, 3), g(slash, 1), g(slash, 2)))
+    )
+    return F.when(F.length(t).between(8, 10) & t.rlike(r"^[0-9]{1,4}[./\-][0-9]{1,2}[./\-][0-9]{1,4}$"), found)
 
 
 def print_figure(value: Column, places: Column, mark: str) -> Column:

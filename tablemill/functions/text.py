@@ -23,7 +23,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends; what begins and ends with a printable ASCII character has none."""
+    t = col(c)
+    ends = [t.substr(1, 1), F.right(t, F.lit(1))]
+    return F.when(ends[0].between("!", "~") & ends[1].between("!", "~"), t).otherwise(F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", ""))
 
 
 def blank(c: Column | str) -> Column:

@@ -25,9 +25,7 @@ def cells(rows: DataFrame, row_limit: int | None = None) -> DataFrame:
 def profile(rows: DataFrame, row_limit: int | None = None) -> DataFrame:
     """One row a column that has a filled cell: filled, mark, kind, places, n_numbers, total and code_share."""
     each = cells(rows, row_limit).withColumn("raw", trim(F.coalesce("raw", F.lit("")))).where("raw <> ''")
-    each = each.withColumn("date", figures.parse_date("raw").isNotNull()).withColumn("vote", F.when(~F.col("date"), figures.mark_vote("raw")))
-    for name, mark in MARKS.items():
-        each = each.withColumn(name, figures.read("raw", mark))
+    each = figures.with_readings(each.withColumn("date", figures.date_of(F.col("raw")).isNotNull()), "raw", MARKS, "vote", skip="date")
     code = barcodes.normalize_barcode("raw")
     each = each.withColumn("code", F.coalesce(F.length(code) >= 8, F.lit(False)))
     sums = [a for n in MARKS for a in (F.count(F.col(n)["value"]).alias(f"n_{n}"), F.max(F.col(n)["places"]).alias(f"p_{n}"), F.sum(F.col(n)["value"]).alias(f"s_{n}"))]

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablemill.functions import barcodes, figures, headings
+from tablemill.functions import barcodes, figures, headings, text
 from tablemill.sources.delimited import parse_delimited, sniff
 from tablemill.sources.documents import extract_json, ld_nodes, offer_price, reply_sheets
 from tablemill.sources.files import has_text_layer
@@ -91,3 +91,22 @@ def test_small_helpers():
     assert [sheet_title(t, used) for t in ("A/B", "ab", "AB", "")] == ["AB", "ab (1)", "AB (2)", "Sheet"]
     assert format_places('0.00" TL"') == 2 and format_places("#,000") == 3 and format_places("0") is None
     assert has_text_layer(b"%PDF /Encrypt") is None and has_text_layer(b"%PDF") is None
+
+
+def test_readings_of_a_profile_are_the_readings_of_a_cell(spark):
+    cells = ["", "x", "12", "1.234,56", "1,234.56", "1.234.567", "1,5", "1.", "1,", "1.234", "12.34.5", "(1.200,50)", "-3,5 TL", "$ 1,000", "%12", "1'000", "١٢", "12 34", "1,2.3,4", "0.001234567", "9" * 40, "1..2", "1.,2", " 7　", "\n8\n"]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, raw string").withColumn("skip", F.lit(False)).withColumn("raw", text.trim("raw"))
+    marks = {"dot": ".", "comma": ",", "cell": None}
+    got = figures.with_readings(df, "raw", marks, "vote", skip="skip").select("k", *marks, "vote")
+    want = df.select("k", *(figures.read("raw", m).alias(n) for n, m in marks.items()), figures.mark_vote("raw").alias("vote"))
+    assert {r["k"]: r for r in got.collect()} == {r["k"]: r for r in want.collect()}
+    by = {cells[r["k"]]: r for r in want.collect()}
+    assert [by[c]["vote"] for c in ("1.234,56", "1,234.56", "1.234.567", "1,5", "1.", "1.234", "12", "x")] == [",", ".", ",", ",", None, None, None, None]
+    assert by["(1.200,50)"]["comma"]["value"] == Decimal("-1200.5") and by["1'000"]["cell"]["value"] == 1000 and by["x"]["cell"] is None
+
+
+def test_codes_of_digits_alone(spark):
+    cells = ["12345", "123456", "12345678901234", "123456789012345", "12345678\n", " 12345678 ", "12345678.00", "abc", "", None, "I2345678"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = [r[0] for r in df.select(barcodes.normalize_barcode("c")).collect()]
+    assert got == [None, "123456", "12345678901234", None, "12345678", "12345678", "12345678", None, None, None, "12345678"]
