@@ -7,7 +7,10 @@ programming over the automaton's states picks the cheapest repair; ties go to th
 
 Long conversations are cut into chunks of turns. A chunk is a (min, +) matrix from state to state, chunks' matrices are
 multiplied along the conversation, and each chunk is then traced back and rendered for itself between two known states.
-So neither a long conversation nor one that holds a third of all turns has to meet in one task or row.
+So neither a long conversation nor one that holds a third of all turns has to meet in one task or row. Chunks go by the
+turn's number; where more rows than numbers are in one (turns without a number, or with equal ones), each turn and role
+is a chunk of its own there, cut by ranges of the text's hash where that is too many still. Only rows that are equal in
+conversation, turn, role and text always share a chunk.
 """
 
 from __future__ import annotations
@@ -19,8 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import cut, runs
+from tablemill.llm.common import cut, runs, scratch
 
+#: Columns that tell a chunk from others, in the order of the turns.
+KEY = ("conv_id", "chunk", "p_turn", "p_role", "p_range")
+KEY_TYPES = "conv_id long, chunk long, p_turn long, p_role string, p_range long"
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 MERGE, RELABEL, KNOWN, INSERT = 2, 3, 1, 2
@@ -89,6 +95,29 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n"
 
 
+def _crowded(base: DataFrame, chunk_turns: int) -> DataFrame:
+    """(s_conv, s_chunk, s_turn, s_role, ranges) of the turns and roles in chunks of over chunk_turns rows.
+
+    Written to the shared folder and read again, so that its size is known where it is joined.
+    """
+    full = base.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).where(F.col("n") > chunk_turns).select(F.col("conv_id").alias("f_conv"), F.col("chunk").alias("f_chunk"))
+    inside = base.join(full, F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("chunk") == F.col("f_chunk")), "left_semi")
+    sizes = inside.groupBy(F.col("conv_id").alias("s_conv"), F.col("chunk").alias("s_chunk"), F.col("turn").alias("s_turn"), F.col("role").alias("s_role")).agg(F.ceil(F.count("*") / chunk_turns).alias("ranges"))
+    path = scratch(base.sparkSession, "crowded")
+    sizes.write.parquet(path)
+    return base.sparkSession.read.parquet(path)
+
+
+def _pieces(base: DataFrame, crowded: DataFrame) -> DataFrame:
+    """base with p_turn, p_role and p_range: null but in crowded chunks, and in the order of turn, role and hash there."""
+    same = F.lit(True)
+    for mine, other in (("conv_id", "s_conv"), ("chunk", "s_chunk"), ("turn", "s_turn"), ("role", "s_role")):
+        same &= F.col(mine).eqNullSafe(F.col(other))
+    found, there = base.join(crowded, same, "left"), F.col("ranges").isNotNull()
+    nth = F.least(F.floor((F.col("th") / F.lit(2.0**64) + 0.5) * F.col("ranges")), F.col("ranges") - 1)
+    return found.select(*base.columns, F.when(there, F.col("turn")).alias("p_turn"), F.when(there, F.col("role")).alias("p_role"), F.when(there, nth).cast("long").alias("p_range"))
+
+
 def repair(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """turns(conv_id, turn, role, text) as (conv_id, turn, old_role, role, action, cost, inserted, rendered).
 
@@ -100,18 +129,19 @@ def repair(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """
     base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(-(2**60))))
-    order = ["conv_id", "chunk", "turn", "role"]
+    base = base.withColumn("th", F.xxhash64("text"))
+    base = _pieces(base, _crowded(base, chunk_turns))
+    order = ["conv_id", "chunk", "turn", "role", "th"]
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ("conv_id", "chunk")):
-            yield pa.RecordBatch.from_pylist(
-                [{"conv_id": t["conv_id"][0].as_py(), "chunk": t["chunk"][0].as_py(), "m": matrix(t["role"].to_pylist()).ravel().tolist()}], pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("m", pa.list_(pa.int64()))])
-            )
+        for t in runs(batches, KEY):
+            m = pa.array([matrix(t["role"].to_pylist()).ravel().tolist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(t[k].slice(0, 1).combine_chunks() for k in KEY), m], [*KEY, "m"])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The state before and after each chunk on the conversation's cheapest way."""
         for t in runs(batches, ("conv_id",)):
-            ms = [np.array(m).reshape(4, 4) for m in t["m"].to_pylist()]
+            ms = t["m"].combine_chunks().flatten().to_numpy().reshape(-1, 4, 4)
             cost, back = np.full(4, FAR), []
             cost[START] = 0
             for m in ms:
@@ -125,10 +155,10 @@ def repair(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
                 found.append((int(b[at]), at))
                 at = int(b[at])
             n, found = len(ms), found[::-1]
-            yield pa.RecordBatch.from_arrays([t["conv_id"].combine_chunks(), t["chunk"].combine_chunks(), pa.array([s for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.int32()), pa.array([k == n - 1 for k in range(n)]), pa.array([total] * n, pa.int64())], ["e_conv", "e_chunk", "s", "e", "final", "cost"])
+            yield pa.RecordBatch.from_arrays([*(t[k].combine_chunks() for k in KEY), pa.array([s for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.int32()), pa.array([k == n - 1 for k in range(n)]), pa.array([total] * n, pa.int64())], [*(f"e_{k}" for k in KEY), "s", "e", "final", "cost"])
 
     def turn_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ("conv_id", "chunk")):
+        for t in runs(batches, KEY):
             roles, texts = t["role"].to_pylist(), t["text"].to_pylist()
             at = t["s"][0].as_py()
             rows = []
@@ -144,9 +174,12 @@ def repair(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
             ids = [t[c].combine_chunks() for c in ("conv_id", "turn")]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(old, pa.string()), pa.array(new), pa.array(action), t["cost"].combine_chunks(), pa.array(way, pa.list_(pa.string())), pa.array(shown)], ["conv_id", "turn", "old_role", "role", "action", "cost", "inserted", "rendered"])
 
-    keyed = base.select("conv_id", "chunk", "turn", "role", F.xxhash64("text").alias("th")).repartition("conv_id", "chunk").sortWithinPartitions(*order, "th")
-    found = keyed.mapInArrow(chunks, "conv_id long, chunk long, m array<long>").repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
-    states = cut(found.mapInArrow(ends, "e_conv long, e_chunk long, s int, e int, final boolean, cost long"))
-    joined = base.join(states, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("chunk") == F.col("e_chunk")))
-    dealt = joined.drop("e_conv", "e_chunk").withColumn("th", F.xxhash64("text")).repartition("conv_id", "chunk").sortWithinPartitions(*order, "th", "text").drop("th")
+    keyed = base.select(*KEY, "turn", "role", "th").repartition(*KEY).sortWithinPartitions(*order)
+    found = keyed.mapInArrow(chunks, f"{KEY_TYPES}, m array<long>").repartition("conv_id").sortWithinPartitions(*KEY)
+    states = cut(found.mapInArrow(ends, ", ".join(f"e_{c}" for c in KEY_TYPES.split(", ")) + ", s int, e int, final boolean, cost long"))
+    same = F.lit(True)
+    for k in KEY:
+        same &= F.col(k).eqNullSafe(F.col(f"e_{k}"))
+    joined = base.join(states, same).drop(*(f"e_{k}" for k in KEY))
+    dealt = joined.repartition(*KEY).sortWithinPartitions(*order, "text").drop("th")
     return dealt.mapInArrow(turn_rows, "conv_id long, turn long, old_role string, role string, action string, cost long, inserted array<string>, rendered string")

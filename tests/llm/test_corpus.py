@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tablemill.llm import byte_bpe, chat, common, exact_dedup, graph, packing, quality, simhash, substring_dedup, suffix_array, token_shards, toxicity, word_tokens
 from tablemill.llm import queries as Q
@@ -571,6 +572,21 @@ def test_chat(spark, chunk):
     assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("turn", [None, 5])
+def test_chat_turns_without_an_order_of_their_own(spark, turn):
+    """Many turns that are null or equal are cut into chunks, to the rows that one chunk would give."""
+    rng = random.Random(9)
+    turns = [(c, turn, rng.choice(["system", "user", "assistant", "tool", None]), rng.choice(["same", f"t{n}"])) for n in range(300) for c in (None, 7)] + [(8, 0, "user", "a"), (8, 1, "assistant", "b")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    cut, whole = chat.repair(df, 16), chat.repair(df)
+    assert {r["cost"] for r in cut.where("conv_id = 7").collect()} == {r["cost"] for r in whole.where("conv_id = 7").collect()}
+    assert Counter(map(str, cut.select("conv_id", "turn", "old_role", "cost").collect())) == Counter(map(str, whole.select("conv_id", "turn", "old_role", "cost").collect()))
+    base = df.withColumn("chunk", F.lit(0).cast("long")).withColumn("th", F.xxhash64("text"))
+    sizes = chat._pieces(base, chat._crowded(base, 16)).where("text <> 'same'").groupBy(*chat.KEY).count()
+    assert sizes.where("conv_id = 7").count() > 8 and sizes.where("conv_id = 8 and p_range is not null").count() == 0
+    assert sizes.agg(F.max("count")).first()[0] < 40
+
+
 # --- queries and pipeline
 
 
