@@ -4,8 +4,10 @@ Every window holds one gram of least hash among its grams, its anchor, and equal
 about two grams in (window - gram) are told to others. Stages:
 
 1. Anchors' hashes meet by hash, packed by bucket; those found in two documents or more go back to their documents.
+   What documents of one batch share is told there, as a map-side combine, and meets others once a batch.
 2. A document then tells, for each such anchor, a hash of its segment: all the symbols that windows around the anchor
-   can cover. Equal segments of one anchor form a class. All but the class's least document lose the segment whole.
+   can cover. Equal segments of one anchor form a class. All but the class's least document lose the segment whole;
+   those that have a smaller document in their batch do so at once.
 3. Where an anchor has several classes, the segments of their least documents meet in a solver, one for each class and
    text however often the text has it, which finds what they share by the operator's own method. An anchor with very many classes would be one large group; its segments are
    taken apart into windows, whose 128-bit hashes spread over all partitions, and equal ones are a class again.
@@ -209,9 +211,20 @@ def _packed(bucket: np.ndarray, columns: list[np.ndarray], kinds: dict[str, type
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *cols], ["bucket", *kinds])
 
 
-def _by_code(code: np.ndarray, buckets: int, columns: list[np.ndarray], kinds: dict[str, type]) -> pa.RecordBatch:
+def _by_code(code: np.ndarray, buckets: int, columns: dict[str, np.ndarray], kinds: dict[str, type], meet: np.ndarray, done: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows that meet those of their code elsewhere, and rows that the batch itself has settled, which go anywhere."""
     n = np.uint64(buckets)
-    return _packed(code % n, [(code // n) & np.uint64(2**32 - 1), code // n >> np.uint64(32), *columns], kinds)
+    values = [(code // n) & np.uint64(2**32 - 1), code // n >> np.uint64(32), *columns.values()]
+    for take, settled in ((meet, False), (done, True)):
+        if len(take):
+            bucket = _mix(columns["k"][take].astype(np.int64).view(np.uint64)) if settled else code[take]
+            b = _packed(bucket % n, [x[take] for x in values], kinds)
+            yield b.append_column("done", pa.array([settled] * b.num_rows, pa.bool_()))
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted columns begin a new value."""
+    return np.flatnonzero(np.any([np.r_[True, x[1:] != x[:-1]] for x in columns], axis=0)) if len(columns[0]) else np.zeros(0, np.int64)
 
 
 def _by_k(columns: list[np.ndarray], kinds: dict[str, type], buckets: int) -> pa.RecordBatch:
@@ -236,18 +249,24 @@ def _anchor_rows(kind: Kind, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             code, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _by_code(code, buckets, [doc], ANCHOR)
+            order = np.lexsort((doc, code))
+            once = order[_starts(code[order], doc[order])]
+            code, doc = code[once], doc[once]
+            first = _starts(code)
+            # What two documents of the batch have is shared; only the first still meets others.
+            several = np.repeat(np.diff(np.r_[first, len(code)]) > 1, np.diff(np.r_[first, len(code)]))
+            yield from _by_code(code, buckets, {"k": doc}, ANCHOR, first, np.flatnonzero(several))
 
         for b in _slices(batches):
             found = _Found([kind.raw(t) for t in b.column("text").to_pylist()], kind, False)
             held.append((_code(found.h.astype(np.uint64), buckets), b.column("doc_id").to_numpy()[found.text.astype(np.int64)]))
             if sum(len(h) for h, _ in held) > FLUSH:
-                yield flush()
+                yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -256,9 +275,10 @@ def _shared_anchors(buckets: int):
     """Anchors that two documents or more have, told to each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ("bucket",)):
+        for t in runs(batches, ("bucket", "done")):
             low, high, doc = _unpacked(t, ANCHOR)
-            if not len(doc):
+            if t["done"][0].as_py():
+                yield _by_k([doc, low], SHARED, buckets)
                 continue
             code = _whole_code(t, low, high, buckets)
             order = np.argsort(code)
@@ -294,10 +314,18 @@ def _segment_rows(kind: Kind, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             code, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _by_code(code, buckets, columns, SEGMENT)
+            seg, doc = columns[:2]
+            order = np.lexsort((doc, seg, code))
+            first = _starts(code[order], seg[order])
+            least = np.empty_like(doc)
+            least[order] = np.repeat(doc[order][first], np.diff(np.r_[first, len(code)]))
+            # A segment that a smaller document of the batch has goes whole, and says nothing to others.
+            settled = doc > least
+            columns = dict(zip(("seg", "k", "th", "start", "size"), columns, strict=True))
+            yield from _by_code(code, buckets, columns, SEGMENT, np.flatnonzero(~settled), np.flatnonzero(settled))
 
         for b in _slices(batches):
             found = _Found([kind.raw(t) for t in b.column("text").to_pylist()], kind, True)
@@ -313,9 +341,9 @@ def _segment_rows(kind: Kind, buckets: int):
             left = found.left[take]
             held.append((code[take], found.seg[take], b.column("doc_id").to_numpy(zero_copy_only=False)[text], b.column("__sw_th").to_numpy()[text], found.pos[take] - left, left + kind.gram + found.right[take]))
             if sum(len(x[0]) for x in held) > FLUSH:
-                yield flush()
+                yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -324,9 +352,12 @@ def _classes(window: int, ask: bool, buckets: int, many: int):
     """Of each anchor's classes: spans of all but the least document, or the least documents' segments to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ("bucket",)):
+        for t in runs(batches, ("bucket", "done")):
+            if t["done"][0].as_py() and ask:
+                continue
             low, high, seg, doc, th, start, size = _unpacked(t, SEGMENT)
-            if not len(doc):
+            if t["done"][0].as_py():
+                yield _by_k([x[size >= window] for x in (doc, th, start, size)], SPAN, buckets)
                 continue
             code = _whole_code(t, low, high, buckets)
             order = np.lexsort((doc, seg, code))
@@ -354,7 +385,7 @@ def _classes(window: int, ask: bool, buckets: int, many: int):
 def _cut_segments(kind: Kind):
     """(g, g2, seg, k, th, start, starts, done): segments by their anchor, and windows of segments taken apart, without seg, by hash.
 
-    A segment that a text has several times goes once; starts, else null, packs all its places.
+    A segment or window that a text has several times goes once; starts, else null, packs all its places.
     Of equal windows in a batch only the least document's still has to be compared, as a map-side combine: so a window
     that very many documents have doesn't send a row for each of them to one task.
     """
@@ -392,13 +423,17 @@ def _cut_segments(kind: Kind):
                 digest, *others = zip(*windows, strict=True)
                 g, g2 = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2).T
                 k, th, start = (np.array(x, np.int64) for x in others)
-                order = np.lexsort((k, g2, g))
+                order = np.lexsort((start, th, k, g2, g))
                 g, g2, k, th, start = (x[order] for x in (g, g2, k, th, start))
-                first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (g2[1:] != g2[:-1])])
+                own = _starts(g, g2, k, th)
+                ends = np.r_[own[1:], len(g)]
+                starts = pa.array([start[a:b].tobytes() if b - a > 1 else None for a, b in zip(own.tolist(), ends.tolist(), strict=True)], pa.binary())
+                g, g2, k, th, start = (x[own] for x in (g, g2, k, th, start))
+                first = _starts(g, g2)
                 # A window that a smaller document of this batch has is settled, and goes anywhere.
                 done = k > np.repeat(k[first], np.diff(np.r_[first, len(k)]))
                 g = np.where(done, _mix((k * 65537 + start).view(np.uint64)).view(np.int64), g)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(g2), pa.nulls(len(g), pa.binary()), pa.array(k), pa.array(th), pa.array(start), pa.nulls(len(g), pa.binary()), pa.array(done)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(g2), pa.nulls(len(g), pa.binary()), pa.array(k), pa.array(th), pa.array(start), starts, pa.array(done)], names)
 
     return run
 
@@ -410,6 +445,13 @@ def _solved(kind: Kind, solver: Solver, buckets: int):
         ready: list[pa.RecordBatch] = []
         last = (0, 0, 0)
 
+        def settle(b: pa.RecordBatch) -> None:
+            k, th, start = (b.column(c).to_numpy() for c in ("k", "th", "start"))
+            places = [np.frombuffer(x, np.int64) if x else start[i : i + 1] for i, x in enumerate(b.column("starts").to_pylist())]
+            n = [len(x) for x in places]
+            at = np.concatenate(places)
+            ready.append(_by_k([np.repeat(k, n), np.repeat(th, n), at, np.full(len(at), kind.window)], SPAN, buckets))
+
         def windows(b: pa.RecordBatch) -> None:
             nonlocal last
             g, g2, k = (b.column(c).to_numpy() for c in ("g", "g2", "k"))
@@ -419,14 +461,13 @@ def _solved(kind: Kind, solver: Solver, buckets: int):
             last = (int(g[-1]), int(g2[-1]), int(least[-1]))
             take = k > least
             if take.any():
-                ready.append(_by_k([x[take] for x in (k, b.column("th").to_numpy(), b.column("start").to_numpy(), np.full(len(k), kind.window))], SPAN, buckets))
+                settle(b.filter(pa.array(take)))
 
         def segments() -> Iterator[pa.RecordBatch]:
             for b in batches:
                 apart, done = np.array(b.column("seg").is_null()), b.column("done").to_numpy(zero_copy_only=False)
                 if done.any():
-                    d = b.filter(b.column("done"))
-                    ready.append(_by_k([d.column("k").to_numpy(), d.column("th").to_numpy(), d.column("start").to_numpy(), np.full(d.num_rows, kind.window)], SPAN, buckets))
+                    settle(b.filter(b.column("done")))
                 if (apart & ~done).any():
                     windows(b.filter(pa.array(apart & ~done)))
                 if not apart.all():
@@ -490,7 +531,7 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
     buckets = partitions(docs.sparkSession)
     least = 2 * kind.window - 1 if kind.words else kind.window // 4
     usable = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
-    anchors = usable.mapInArrow(released(_anchor_rows(kind, buckets)), _schema(ANCHOR)).repartition("bucket").sortWithinPartitions("bucket")
+    anchors = usable.mapInArrow(released(_anchor_rows(kind, buckets)), _schema(ANCHOR) + ", done boolean").repartition("bucket").sortWithinPartitions("bucket", "done")
     shared = anchors.mapInArrow(released(_shared_anchors(buckets)), _schema(SHARED))
 
     th = F.xxhash64(text_or_empty())
@@ -508,8 +549,8 @@ def remove_shared(docs: DataFrame, kind: Kind, solver: Solver, made: dict[str, s
         listed = F.col(column).isNotNull() & F.col("doc_id").isNotNull()
         return dealt.join(lists, on, "left").withColumn("text", F.when(listed, F.col("text")))
 
-    told = joined(_for_documents(shared, SHARED, {"low": "__sw_low"}), "__sw_low").mapInArrow(released(_segment_rows(kind, buckets)), _schema(SEGMENT))
-    told = told.repartition("bucket").sortWithinPartitions("bucket")
+    told = joined(_for_documents(shared, SHARED, {"low": "__sw_low"}), "__sw_low").mapInArrow(released(_segment_rows(kind, buckets)), _schema(SEGMENT) + ", done boolean")
+    told = told.repartition("bucket").sortWithinPartitions("bucket", "done")
     copies = told.mapInArrow(released(_classes(kind.window, False, buckets, many)), _schema(SPAN))
     asked = told.mapInArrow(released(_classes(kind.window, True, buckets, many)), _schema(ASKED))
     lists = _for_documents(asked, ASKED, {c: f"__sw_{c}s" for c in ASKED})
