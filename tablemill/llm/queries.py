@@ -25,8 +25,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = cut(simhash.with_fingerprints(documents(spark, sf_dir), "fp").select("doc_id", "fp"))
-    placed = simhash.components_of(marked)
-    return marked.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return simhash.with_components(marked).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def tokenizer(name: str) -> str:

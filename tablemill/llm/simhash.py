@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import cut, released, unused, wider
+from tablemill.llm.common import cut, partitions, released, unused, wider
 from tablemill.llm.graph import components
 
 BITS = 4
@@ -174,17 +174,39 @@ def fingerprint_links(fps: DataFrame, n_blocks: int = BITS + 2) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(released(_scan), f"a {node}, b {node}")
 
 
+def _counted(fps: DataFrame) -> tuple[DataFrame, int]:
+    """(fp, n, component_id) of fps(fp, doc_id), n counting its rows, and the number of all rows."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("doc_id"), F.count("*").alias("n")))
+    different, total = nodes.agg(F.count("*"), F.sum("n")).first()
+    linked = components(fingerprint_links(nodes, blocks_for(different)))
+    placed = nodes.join(linked, nodes["fp"] == linked["node"]["fp"], "left")
+    least = F.when(~F.col("component")["none"], F.col("component")["least"])
+    return placed.select("fp", "n", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(least).alias("component_id")), total or 0
+
+
 def components_of(fps: DataFrame) -> DataFrame:
     """(fp, component_id) of fps(fp, doc_id), any number of rows a fingerprint: the least doc_id reachable over links.
 
     Null doc_ids are ignored in the minimum; a component of null doc_ids only has a null component_id. An empty table
     gives an empty one.
     """
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("doc_id")))
-    linked = components(fingerprint_links(nodes, blocks_for(nodes.count())))
-    placed = nodes.join(linked, nodes["fp"] == linked["node"]["fp"], "left")
-    least = F.when(~F.col("component")["none"], F.col("component")["least"])
-    return placed.select("fp", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(least).alias("component_id"))
+    return _counted(fps)[0].drop("n")
+
+
+def with_components(marked: DataFrame, fp: str = "fp", fps: DataFrame | None = None) -> DataFrame:
+    """marked with component_id by its column of fingerprints; fps(fp, doc_id) are its fingerprints, if kept elsewhere.
+
+    Fingerprints that over a quarter of a partition's share of all rows have, of which there are fewer than four a
+    partition, are broadcast, and their rows are dealt by doc_id; only the others meet their component by fingerprint.
+    """
+    placed, total = _counted(marked.select(F.col(fp).alias("fp"), "doc_id") if fps is None else fps)
+    share = total / (4 * partitions(marked.sparkSession))
+    is_hot, hot_fp, hot_id, key, cold_fp, cold_id = (unused(c, marked.columns) for c in ("_hot", "_hot_fp", "_hot_id", "_key", "_cold_fp", "_cold_id"))
+    hot = placed.where(F.col("n") > share).select(F.col("fp").alias(hot_fp), F.col("component_id").alias(hot_id), F.lit(True).alias(is_hot))
+    cold = placed.where(F.col("n") <= share).select(F.col("fp").alias(cold_fp), F.col("component_id").alias(cold_id))
+    met = marked.join(F.broadcast(hot), F.col(fp) == F.col(hot_fp), "left")
+    met = met.withColumn(key, F.when(F.col(is_hot), F.xxhash64("doc_id")).otherwise(F.col(fp))).join(cold, F.col(key) == F.col(cold_fp), "left")
+    return met.select(*marked.columns, F.when(F.col(is_hot), F.col(hot_id)).otherwise(F.col(cold_id)).alias("component_id"))
 
 
 def mark_near_copies(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -195,10 +217,9 @@ def mark_near_copies(docs: DataFrame, shingle: int = 4) -> DataFrame:
     an empty table gives an empty one.
     """
     base = docs.drop("fingerprint", "component_id")
-    fp, key = unused("_fp", base.columns), unused("_key", base.columns)
+    fp = unused("_fp", base.columns)
     marked = with_fingerprints(base, fp, shingle)
-    placed = components_of(cut(marked.select(F.col(fp).alias("fp"), "doc_id"))).select(F.col("fp").alias(key), F.col("component_id").alias("component_id"))
-    joined = marked.join(placed, F.col(fp) == F.col(key), "left")
+    joined = with_components(marked, fp, cut(marked.select(F.col(fp).alias("fp"), "doc_id")))
     return joined.select(*base.columns, F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), "component_id")
 
 

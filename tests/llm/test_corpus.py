@@ -284,6 +284,20 @@ def test_simhash(spark, rows):
     assert simhash.mark_near_copies(empty(spark)).count() == 0
 
 
+def test_hot_fingerprints_join_apart(spark):
+    """A fingerprint of a third of the rows, one that few have, links between both kinds, and null doc_ids."""
+    rng = random.Random(10)
+    prints = [0] * 300 + [3] * 2 + [rng.getrandbits(62) for _ in range(400)] + [-1] * 150 + [-2]
+    rows = [(k, f) for k, f in zip(rng.sample(range(5000), len(prints)), prints, strict=True)] + [(None, 0), (None, 77 << 40)]
+    labels = {}
+    for k, f in rows:
+        for g in {f for _, f in rows if ((f ^ prints[0]) & (2**64 - 1)).bit_count() <= 4} if f in (0, 3) else {-1, -2} if f in (-1, -2) else {f}:
+            labels[g] = min((x for x in (labels.get(g), k) if x is not None), default=None)
+    got = simhash.with_components(spark.createDataFrame(rows, "doc_id long, fp long").repartition(7)).collect()
+    assert len(got) == len(rows)
+    assert all(r["component_id"] == labels[r["fp"]] for r in got)
+
+
 @pytest.mark.parametrize("unit_rows", [4096, 40])
 def test_dense_fingerprints(spark, monkeypatch, unit_rows):
     """Many fingerprints around a few centres; small units force large ones apart."""
