@@ -98,7 +98,8 @@ def parse_dates(spark, sf_dir):
     "ELSE '$' || cast(cast(cast(s_acctbal AS decimal(18,2)) / 1000000 AS decimal(18,2)) AS varchar) END AS cost FROM supplier"
 )
 def print_costs(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", figures.format_cost(F.col("s_acctbal").cast("decimal(18,2)") / 1000000).alias("cost"))
+    rounded = F.round(F.col("s_acctbal") * 100) / 100
+    return table(spark, sf_dir, "supplier").select("s_suppkey", figures.format_cost(F.col("s_acctbal") / 1000000, rounded / 1000000).alias("cost"))
 
 
 # --- columns
