@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions import barcodes, figures, headings, web
@@ -381,6 +381,31 @@ def _part_sheet(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows, sheet(spark, rows.select("doc_id").distinct(), ["Kod", "Ürün; Adı", "Fiyat"])
 
 
+#: Part keys that one file of a brand spans, so that no file grows with the table.
+FILE_KEYS = 20_000
+
+
+def _part_files(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows and sheets of files that each hold a brand's parts of one range of keys, and (doc_id, brand, start) of each file.
+
+    start: how many of the brand's parts come in earlier files.
+    """
+    keyed = table(spark, sf_dir, "part").withColumn("block", F.expr(f"p_partkey div {FILE_KEYS}")).withColumn("doc_id", F.to_json(F.struct("p_brand", "block")))
+    rows = keyed.select("doc_id", F.lit(0).alias("sheet_ord"), F.col("p_partkey").alias("row_ord"), _part_cells().alias("cells"))
+    sizes = keyed.groupBy("doc_id", F.col("p_brand").alias("brand"), "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("brand").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("doc_id", "brand", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows, sheet(spark, sizes.select("doc_id"), ["Kod", "Ürün; Adı", "Fiyat"]), starts
+
+
+def _read_back(written: DataFrame, starts: DataFrame, tail: str) -> DataFrame:
+    """The parts of written(doc_id, content), numbered through each brand's files; no limit of uploads cuts what was just written."""
+    read = files.read_sheets(written.select(F.concat("doc_id", F.lit(tail)).alias("path"), "content"), max_rows=None, max_bytes=None)
+    met = read.join(starts.select(F.concat("doc_id", F.lit(tail)).alias("doc_id"), "brand", "start"), "doc_id")
+    cell = lambda k: F.col("cells")[k]
+    return met.select(F.concat("brand", F.lit(tail)).alias("doc_id"), (F.col("start") + F.col("row_ord")).alias("row_ord"), cell(0).alias("code"), cell(1).alias("name"), cell(2).alias("price"))
+
+
 PRICE_SQL = "replace(cast(cast(p_retailprice AS decimal(18,2)) AS varchar), '.', ',')"
 CELL_SQL = f"CASE p_partkey % 4 WHEN 0 THEN '\"' || p_name || '; \"\"x\"\"\"' WHEN 1 THEN '''=' || p_name WHEN 2 THEN '\"' || p_name || chr(10) || 'b\"' ELSE '-' || p_name END"
 
@@ -403,9 +428,9 @@ def html_rows(spark, sf_dir):
 
 @query(f"SELECT p_brand || '.csv' AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_ord, '0' || p_partkey AS code, {NAME_SQL} AS name, {PRICE_SQL} AS price FROM part")
 def csv_roundtrip(spark, sf_dir):
-    written = sinks.csv_files(*_part_sheet(spark, sf_dir), lang="tr")
-    read = files.read_sheets(written.select(F.concat("doc_id", F.lit(".csv")).alias("path"), F.encode("content", "UTF-8").alias("content")))
-    return read.select("doc_id", "row_ord", F.col("cells")[0].alias("code"), F.col("cells")[1].alias("name"), F.col("cells")[2].alias("price"))
+    rows, sheets, starts = _part_files(spark, sf_dir)
+    written = sinks.csv_files(rows, sheets, lang="tr").select("doc_id", F.encode("content", "UTF-8").alias("content"))
+    return _read_back(written, starts, ".csv")
 
 
 @query(f"SELECT p_brand || '.xlsx' AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_ord, '0' || p_partkey AS code, {NAME_SQL} AS name, replace({PRICE_SQL}, ',', '.') AS price FROM part")
