@@ -435,9 +435,8 @@ def csv_roundtrip(spark, sf_dir):
 
 @query(f"SELECT p_brand || '.xlsx' AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_ord, '0' || p_partkey AS code, {NAME_SQL} AS name, replace({PRICE_SQL}, ',', '.') AS price FROM part")
 def xlsx_roundtrip(spark, sf_dir):
-    written = sinks.workbooks(*_part_sheet(spark, sf_dir))
-    read = files.read_sheets(written.select(F.concat("doc_id", F.lit(".xlsx")).alias("path"), "content"))
-    return read.select("doc_id", "row_ord", F.col("cells")[0].alias("code"), F.col("cells")[1].alias("name"), F.col("cells")[2].alias("price"))
+    rows, sheets, starts = _part_files(spark, sf_dir)
+    return _read_back(sinks.workbooks(rows, sheets), starts, ".xlsx")
 
 
 @query("SELECT p_brand AS list_id, p_partkey AS n, '869' || lpad(cast(p_partkey AS varchar), 9, '0') AS barcode, p_name AS name, cast(cast(p_retailprice AS decimal(18,2)) AS varchar) AS price, CASE WHEN p_partkey % 2 = 0 THEN 'headed' ELSE 'bare' END AS kind FROM part")

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 
-@pytest.mark.parametrize("name", ["csv_roundtrip"])
+@pytest.mark.parametrize("name", ["csv_roundtrip", "xlsx_roundtrip"])
 def test_whole_brands_come_back(spark, tmp_path, name):
     part = f"'{tmp_path}/part.parquet'"
     duckdb.sql(
