@@ -21,7 +21,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without near copies of a smaller doc_id: five-word shingles, similarity 0.8 or more."""
+    """Documents without near copies of a smaller doc_id: five-word shingles, similarity 0.8 or more.
+
+    SimHash fingerprints and pivot distance tables discard, the similarity itself decides.
+    """
     return near_copies.near_dedup(docs)
 
 

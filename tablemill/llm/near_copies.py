@@ -1,10 +1,12 @@
-"""Near-dedup by the Jaccard similarity of five-word shingles, with SimHash fingerprints as the filter.
+"""Near-dedup by the Jaccard similarity of five-word shingles, with SimHash fingerprints and pivot distance tables as the filter.
 
 Two sets at least 0.8 alike share one of the LOW least hashes of their union with chance 1 - 0.2**LOW, and an element
 among the least of the union is among the least of both. So documents meet in units by each of their LOW least hashes;
 sets of up to 45 shingles can't miss each other, as more than a fifth of the set is told. Inside a unit, sizes and
 fingerprints of 256 bits discard: at 0.8 some 40 bits differ, of unrelated texts 128, and BAND lies over five standard
-deviations from both. What is left links to clusters, and only texts of clusters meet again, where the similarity
+deviations from both. A table holds each fingerprint's Hamming distances to reference fingerprints of its unit; by the
+triangle inequality a pair whose distances to some reference differ by more than BAND can't link, and only the survivors'
+true distance is worked out. What is left links to clusters, and only texts of clusters meet again, where the similarity
 itself decides.
 """
 
@@ -23,6 +25,7 @@ from tablemill.llm.graph import components
 from tablemill.llm.simhash import _LOWER, UNIT_ROWS
 
 SHINGLE, LOW, BAND = 5, 10, 80
+N_PIVOTS = 8
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
 _SALTS = np.random.default_rng(5).integers(0, 2**64, 3, dtype=np.uint64)
@@ -68,10 +71,30 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), node, size, *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(4)), low], ["doc_id", "th", "node", "size", *_WIDE, "low"])
 
 
+def distance_table(unit: np.ndarray, wide: np.ndarray) -> list[np.ndarray]:
+    """Hamming distances of each row's fingerprint to N_PIVOTS references, an array a reference; rows are sorted by unit.
+
+    A unit's references are its own: its first row, then each time the row farthest from those before. Fixed ones would
+    never discard: a fingerprint lies 128 bits from them, give or take 8, so no two distances differ by more than BAND.
+    """
+    if not len(unit):
+        return []
+    start = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    number = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(unit)]))
+    pivot, least, table = start, np.full(len(unit), 257, np.int16), []
+    for _ in range(N_PIVOTS):
+        table.append(np.bitwise_count(wide ^ wide[pivot][number]).sum(1, dtype=np.int16))
+        least = np.minimum(least, table[-1])
+        farthest = np.flatnonzero(least == np.maximum.reduceat(least, start)[number])
+        pivot = farthest[np.unique(number[farthest], return_index=True)[1]]
+    return table
+
+
 def links_in_units(unit: np.ndarray, size: np.ndarray, wide: np.ndarray, part: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) whose links join every pair of one unit whose sizes and fingerprints allow the similarity."""
     order = np.lexsort((size, unit))
     unit, size, wide, part, whole = (x[order] for x in (unit, size, wide, part, whole))
+    table = distance_table(unit, wide)
     label = np.arange(len(unit))
     out: list[tuple[np.ndarray, np.ndarray]] = []
     at, step = np.arange(len(unit)), 0
@@ -82,6 +105,10 @@ def links_in_units(unit: np.ndarray, size: np.ndarray, wide: np.ndarray, part: n
         if not len(at):
             break
         i = at[(whole[at] | (part[at + step] != part[at])) & (label[at] != label[at + step])]
+        for column in table:
+            if not len(i):
+                break
+            i = i[np.abs(column[i] - column[i + step]) <= BAND]
         i = i[np.bitwise_count(wide[i] ^ wide[i + step]).sum(1, dtype=np.int64) <= BAND]
         while len(i := i[label[i] != label[i + step]]):
             a, b = label[i], label[i + step]
